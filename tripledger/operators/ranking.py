@@ -18,10 +18,6 @@ from pyspark.sql import functions as F
 _STRIDE = 32
 
 
-def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> list[Column]:
-    return [left[k].eqNullSafe(right[k]) for k in keys]
-
-
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on keys that may be null, keeping one copy of each key."""
     marked = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
@@ -29,8 +25,12 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(marked, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def _split_bucket(df: DataFrame, key: Column, grouped: bool, n_splits: int) -> Column:
-    """Number of split points at or below ``key``; at most ``n_splits``."""
+def _with_split_bucket(
+    df: DataFrame, order: Sequence[str], grouped: bool, n_splits: int,
+) -> DataFrame:
+    """Add ``_b``, the number of split points at or below a row; at most ``n_splits``."""
+    key = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    # Reading the weight keeps this branch equal to its siblings, so they share one shuffle.
     keys = df.where(F.col("_w") >= 0).select(key.alias("k"))
     if grouped:
         keys = keys.distinct()
@@ -39,13 +39,16 @@ def _split_bucket(df: DataFrame, key: Column, grouped: bool, n_splits: int) -> C
         .agg(F.sort_array(F.collect_list("k")).alias("fine"))
         .select(F.struct(
             "fine", F.filter("fine", lambda _, i: i % _STRIDE == 0).alias("coarse")
-        ).alias("p"))
+        ))
         .scalar()
     )
-    block = F.size(F.filter(points["coarse"], lambda s: s <= key))
-    inside = F.slice(points["fine"], (F.greatest(block, F.lit(1)) - 1) * _STRIDE + 1, _STRIDE)
-    return F.when(block == 0, F.lit(0)).otherwise(
-        (block - 1) * _STRIDE + F.size(F.filter(inside, lambda s: s <= key)))
+    df = df.withColumn("_p", points)
+    block = F.size(F.filter(F.col("_p.coarse"), lambda s: s <= key))
+    df = df.withColumn("_block", block)
+    inside = F.slice(F.col("_p.fine"), (F.greatest("_block", F.lit(1)) - 1) * _STRIDE + 1, _STRIDE)
+    return df.withColumn("_b", F.when(F.col("_block") == 0, F.lit(0)).otherwise(
+        (F.col("_block") - 1) * _STRIDE + F.size(F.filter(inside, lambda s: s <= key))
+    )).drop("_p", "_block")
 
 
 def prefix_sums(
@@ -62,9 +65,9 @@ def prefix_sums(
     by = list(by)
     df = df.withColumn("_w", (F.lit(1) if weight is None else F.col(weight)).cast("bigint"))
     if bucket is None:
-        key = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-        bucket = _split_bucket(df, key, bool(by), n_splits)
-    tagged = df.withColumn("_b", bucket)
+        tagged = _with_split_bucket(df, order, bool(by), n_splits)
+    else:
+        tagged = df.withColumn("_b", bucket)
 
     # At most n_splits + 1 rows per group reach this window.
     in_group = Window.partitionBy(*by)
@@ -146,5 +149,5 @@ def arg_extreme(
     else:
         lead = [F.col(by).alias("_k")]
     packed = F.min(F.struct(*lead, F.col(ties), F.col(by), *rest)).alias("_row")
-    return df.groupBy(*group).agg(packed).select(
+    return df.where(F.col(by).isNotNull()).groupBy(*group).agg(packed).select(
         *group, *[F.col(f"_row.{c}").alias(c) for c in df.columns if c not in group])
