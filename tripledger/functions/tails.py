@@ -7,11 +7,17 @@ to one row per test, or one row per resampling iteration.
 from __future__ import annotations
 
 import math
+import sys
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Ship these helpers inside the task, so executors need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _STEPS = 400
 _TINY = 1e-300
@@ -125,16 +131,16 @@ def _as_column(values: np.ndarray) -> pd.Series:
     return pd.Series([None if np.isnan(v) else float(v) for v in values], dtype="object")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     return _as_column(t_two_sided(t, df))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_pvalue(chi2: pd.Series, dof: pd.Series) -> pd.Series:
     return _as_column(chi2_upper(chi2, dof))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_pvalue(z: pd.Series) -> pd.Series:
     return _as_column(normal_two_sided(z))

@@ -42,8 +42,8 @@ def fan_out(df: DataFrame, iterations: int, name: str = "iteration") -> DataFram
     fan-out is ``iterations`` times larger and should not.
     """
     width = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(width, *df.columns).withColumn(
-        name, F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).cast("bigint"))
+    first, last = F.lit(0).cast("bigint"), F.lit(iterations - 1).cast("bigint")
+    return df.repartition(width, *df.columns).withColumn(name, F.explode(F.sequence(first, last)))
 
 
 def fixed_subsample(
