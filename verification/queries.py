@@ -96,18 +96,32 @@ def order_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.kpi(stored_orders(spark, sf_dir), ORDER_SPEC)
 
 
-def event_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_event_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.build_panel(
         event_trips(spark, sf_dir), EVENT_SPEC, "origin", PRE1, PRE2, POST, POOL_MIN)
 
 
+def _stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    path = _scratch(spark, sf_dir, name)
+    if not tables.path_exists(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def event_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel as a stored table, as the experiment stage keeps it."""
+    return _stored(spark, sf_dir, "panel", lambda: build_event_panel(spark, sf_dir))
+
+
 def event_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.block_randomise(event_panel(spark, sf_dir))
+    """The arms as a stored table: assignment happens once, all readouts use it."""
+    return _stored(
+        spark, sf_dir, "arms", lambda: E.block_randomise(event_panel(spark, sf_dir)))
 
 
 def event_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = event_panel(spark, sf_dir)
-    return E.scenario_panel(panel, E.block_randomise(panel), E.cuped_fit(panel))
+    return E.scenario_panel(panel, event_arms(spark, sf_dir), E.cuped_fit(panel))
 
 
 # --- cleaning and sources -------------------------------------------------------------------
@@ -532,7 +546,7 @@ def common_units(spark, sf_dir):
 
 @query
 def pool_panel(spark, sf_dir):
-    return event_panel(spark, sf_dir)
+    return build_event_panel(spark, sf_dir)
 
 
 @query
@@ -586,7 +600,7 @@ def pair_neighbours(spark, sf_dir):
 
 @query
 def block_randomise(spark, sf_dir):
-    return event_arms(spark, sf_dir)
+    return E.block_randomise(build_event_panel(spark, sf_dir))
 
 
 @query
@@ -596,8 +610,7 @@ def srm(spark, sf_dir):
 
 @query
 def baseline_gap(spark, sf_dir):
-    panel = event_panel(spark, sf_dir)
-    return E.baseline_gap(panel, E.block_randomise(panel))
+    return E.baseline_gap(event_panel(spark, sf_dir), event_arms(spark, sf_dir))
 
 
 @query

@@ -59,12 +59,14 @@ def t_p(t: str, df: str) -> str:
     """Two-sided t tail by numerical integration of the density."""
     front = f"exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt({df} * pi())"
     body = f"pow(1 + pow({t} * i / 2000.0, 2) / {df}, -({df} + 1) / 2)"
-    return f"greatest(0.0, 1 - 2 * abs({t}) / 6000.0 * {front} * {_simpson(body)})"
+    p = f"greatest(0.0, 1 - 2 * abs({t}) / 6000.0 * {front} * {_simpson(body)})"
+    return f"(CASE WHEN {t} IS NOT NULL AND {df} IS NOT NULL THEN {p} END)"
 
 
 def normal_p(z: str) -> str:
     body = f"exp(-pow({z} * i / 2000.0, 2) / 2)"
-    return f"least(1.0, greatest(0.0, 1 - 2 * {z} / 6000.0 / sqrt(2 * pi()) * {_simpson(body)}))"
+    p = f"least(1.0, greatest(0.0, 1 - 2 * {z} / 6000.0 / sqrt(2 * pi()) * {_simpson(body)}))"
+    return f"(CASE WHEN {z} IS NOT NULL THEN {p} END)"
 
 
 def chi2_p(x: str, dof: int) -> str:
@@ -72,7 +74,8 @@ def chi2_p(x: str, dof: int) -> str:
         return normal_p(f"sqrt({x})")
     front = f"exp(-lgamma({dof} / 2.0)) / pow(2, {dof} / 2.0)"
     body = f"pow({x} * i / 2000.0, {dof} / 2.0 - 1) * exp(-{x} * i / 4000.0)"
-    return f"greatest(0.0, 1 - {x} / 6000.0 * {front} * {_simpson(body)})"
+    p = f"greatest(0.0, 1 - {x} / 6000.0 * {front} * {_simpson(body)})"
+    return f"(CASE WHEN {x} IS NOT NULL THEN {p} END)"
 
 
 def digest(*keys: str, seed: int | str = SEED) -> str:
@@ -412,8 +415,8 @@ DECISION_LOCAL = {
         CASE WHEN p > 0.05 OR rate_treat <= rate_control OR abs(rate_treat / rate_control - 1) <= 0.05
           THEN 'pass' ELSE 'violated' END FROM rrp""",
 }
-SRM_CHI2 = ("pow(n_treat - (n_treat + n_control) / 2.0, 2) / ((n_treat + n_control) / 2.0) "
-            "+ pow(n_control - (n_treat + n_control) / 2.0, 2) / ((n_treat + n_control) / 2.0)")
+SRM_CHI2 = ("(pow(n_treat - (n_treat + n_control) / 2.0, 2) + pow(n_control - (n_treat + n_control) / 2.0, 2))"
+            " / nullif((n_treat + n_control) / 2.0, 0)")
 SRM_ROW = """SELECT count(*) FILTER (WHERE arm = 'treat') AS n_treat,
     count(*) FILTER (WHERE arm = 'control') AS n_control FROM arms"""
 
@@ -689,7 +692,7 @@ ORACLE: dict[str, str] = {
     "aa_splits": sql(f"""SELECT iteration, n_a, n_b, {r('diff')} AS diff, {r('t')} AS t, {r('df')} AS df,
         {r('p')} AS p FROM aap""", "perm", "adj", **AA_LOCAL),
     "aa_calibration": sql(f"""SELECT count(*) AS aa_iterations,
-        {r('count(*) FILTER (WHERE p < 0.05) / count(*)')} AS aa_fp_rate,
+        {r('count(*) FILTER (WHERE p < 0.05) / nullif(count(*), 0)')} AS aa_fp_rate,
         {r('median(p)')} AS aa_p_median FROM aap""", "perm", "adj", **AA_LOCAL),
     "randomisation_gap": sql(f"""SELECT {r('stddev_pop(g)')} AS pure_random_sd,
         {r('max(abs(g))')} AS pure_random_max FROM (
