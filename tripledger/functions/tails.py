@@ -21,8 +21,19 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _STEPS = 400
 _TINY = 1e-300
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
+
+
+def _each(fn, x) -> np.ndarray:
+    x = np.asarray(x, dtype=float)
+    return np.array([fn(v) for v in x.ravel()], dtype=float).reshape(x.shape)
+
+
+def _lgamma(x) -> np.ndarray:
+    return _each(math.lgamma, x)
+
+
+def _erfc(x) -> np.ndarray:
+    return _each(math.erfc, x)
 
 
 def normal_quantile(p: float) -> float:
