@@ -125,7 +125,7 @@ def metric_trips(spark):
 
 def test_metric_stage_and_views(spark, tmp_path):
     df = metric_trips(spark)
-    stages.metric_stage(df, str(tmp_path), min_n=3, median="exact")
+    stages.metric_stage(df, str(tmp_path), min_n=3)
     stored = stages.read_metrics(spark, str(tmp_path))
     assert set(stored) == set(stages.METRIC_TABLES)
     assert rows(stored["cube"], "month", "dow", "hour", "member", "bike") == \

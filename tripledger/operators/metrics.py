@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from tripledger.functions import columns as C
 from tripledger.functions import exact as X
-from tripledger.operators.ranking import join_on, median_by
+from tripledger.operators.ranking import (
+    coarser_counts, join_on, quantiles_of_counts, value_counts,
+)
 from tripledger.spec import TripSpec
 
 FACT_KEYS = ("month", "date", "dow", "day_type", "hour", "member", "bike", "bucket", "bucket_ord")
@@ -25,11 +27,12 @@ APPROX_ACCURACY = 1000
 
 # --- facts ---------------------------------------------------------------------
 
-def trip_facts(trips: DataFrame, spec: TripSpec) -> DataFrame:
-    """Row-level facts: output names fixed, measures additive."""
+def trip_facts(trips: DataFrame, spec: TripSpec, keep: Sequence[str] = ()) -> DataFrame:
+    """Row-level facts: output names fixed, measures additive; ``keep`` passes columns through."""
     minutes = F.col(spec.duration)
     ordinal = C.bucket_ord(minutes)
     return trips.select(
+        *keep,
         F.col(spec.period).alias("month"), F.col(spec.date).alias("date"),
         F.col(spec.dow).alias("dow"), F.col(spec.day_type).alias("day_type"),
         F.col(spec.hour).alias("hour"),
@@ -82,26 +85,39 @@ def _approx_median(value: Column) -> Column:
     return F.round(F.percentile_approx(value, 0.5, APPROX_ACCURACY), 1)
 
 
+def minute_counts(trips: DataFrame, spec: TripSpec) -> DataFrame:
+    """Trips per period and duration, the input of every exact median.
+
+    Durations of clean trips are whole seconds up to a day, so a period has at most
+    86,400 of them however many trips it holds.
+    """
+    named = trips.select(F.col(spec.period).alias("month"), F.col(spec.duration).alias("minutes"))
+    return value_counts(named, "minutes", ["month"])
+
+
 def period_summary(
     trips: DataFrame, spec: TripSpec, median: str = "exact", facts: DataFrame | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Per period: trips, mean and median minutes, trips by class, electric share.
 
     ``median="approx"`` uses a bounded sketch; ``"exact"`` ranks value counts.
+    ``facts`` and ``counts`` may bring stored reductions of the same trips.
     """
     source = _facts(trips if facts is None else facts, spec)
-    counts = source.groupBy("month").agg(
+    sums = source.groupBy("month").agg(
         _n().alias("n"),
         F.round(_minutes().cast("double") / F.sum("n_trips"), 1).alias("avg_min"),
         *_class_counts(spec),
     )
-    named = trips.select(F.col(spec.period).alias("month"), F.col(spec.duration).alias("minutes"))
     if median == "approx":
-        mid = named.groupBy("month").agg(_approx_median(F.col("minutes")).alias("p50_min"))
+        mid = trips.groupBy(F.col(spec.period).alias("month")).agg(
+            _approx_median(F.col(spec.duration)).alias("p50_min"))
     else:
-        mid = median_by(named, "minutes", ["month"], "p50_min").withColumn(
+        counts = minute_counts(trips, spec) if counts is None else counts
+        mid = quantiles_of_counts(counts, "minutes", {"p50_min": 0.5}, ["month"]).withColumn(
             "p50_min", F.round("p50_min", 1))
-    return join_on(counts, mid, ["month"], "left").select(
+    return join_on(sums, mid, ["month"], "left").select(
         "month", "n", "avg_min", "p50_min", "n_casual", "n_member", "n_classic", "n_electric",
         C.share(F.col("n_electric"), F.col("n")).alias("electric_share"))
 
@@ -240,11 +256,13 @@ def active_stations(trips: DataFrame, spec: TripSpec) -> DataFrame:
 
 def kpi(
     trips: DataFrame, spec: TripSpec, median: str = "exact", facts: DataFrame | None = None,
+    counts: DataFrame | None = None, stations: DataFrame | None = None,
 ) -> DataFrame:
     """One row of twelve overview measures.
 
     Trip counts, the peak day and the number of days come from one pass that
-    groups by date; the median and the active stations take one pass each.
+    groups by date; the median and the active stations take one pass each. Stored
+    facts, value counts and station profiles replace those passes.
     """
     source = _facts(trips if facts is None else facts, spec)
     days = source.groupBy("date").agg(
@@ -263,11 +281,19 @@ def kpi(
     if median == "approx":
         mid = trips.agg(_approx_median(F.col(spec.duration)).alias("p50_min"))
     else:
-        mid = median_by(trips, spec.duration, out="p50_min").select(F.round("p50_min", 1))
+        if counts is None:
+            minutes = value_counts(trips.select(F.col(spec.duration).alias("minutes")), "minutes")
+        else:
+            minutes = coarser_counts(counts, "minutes")
+        mid = quantiles_of_counts(minutes, "minutes", {"p50_min": 0.5}).select(F.round("p50_min", 1))
+    if stations is None:
+        active = active_stations(trips, spec)
+    else:
+        active = stations.agg(F.count_if(F.col("starts") > 0))
     return row.select(
         "n_rides", "n_member", "n_casual", "n_classic", "n_electric", "avg_min",
         mid.scalar().alias("p50_min"),
-        active_stations(trips, spec).scalar().alias("active_stations"),
+        active.scalar().alias("active_stations"),
         "electric_offstation_pct",
         F.col("_peak.date").cast("string").alias("peak_date"),
         (-F.col("_peak.neg_n")).alias("peak_day_rides"), "n_days",

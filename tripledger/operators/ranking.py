@@ -113,7 +113,15 @@ def quantiles(
     Raw rows are reduced to value counts before they are shuffled, so a group that
     holds most rows costs no more than its distinct values.
     """
-    ranked = prefix_sums(value_counts(df, value, by), [value], "n_value", by, **kw)
+    return quantiles_of_counts(value_counts(df, value, by), value, probs, by, **kw)
+
+
+def quantiles_of_counts(
+    counts: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = (),
+    n: str = "n_value", **kw,
+) -> DataFrame:
+    """Exact quantiles from value counts, one row per group and value."""
+    ranked = prefix_sums(counts.withColumnRenamed(n, "n_value"), [value], "n_value", by, **kw)
     v, lo_edge = F.col(value), F.col("before")
     hi_edge = lo_edge + F.col("n_value")
 
@@ -139,6 +147,11 @@ def median_by(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "med
     return quantiles(df, value, {out: 0.5}, by)
 
 
+def coarser_counts(counts: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Value counts of fewer groups, from the counts of more."""
+    return counts.groupBy(*by, value).agg(F.sum("n_value").alias("n_value"))
+
+
 def arg_extreme(
     df: DataFrame, by: str, ties: str, how: str = "max", group: Sequence[str] = (),
 ) -> DataFrame:

@@ -38,30 +38,35 @@ def clean_stage(
 # --- metrics -----------------------------------------------------------------------------
 
 def metric_stage(
-    trips: DataFrame, root: str, spec: TripSpec = TripSpec(), median: str = "approx",
+    trips: DataFrame, root: str, spec: TripSpec = TripSpec(),
     min_n: int = 100, top: int = 1000, formats: Sequence[str] = ("json", "csv"),
 ) -> None:
-    """All seven metric tables.
+    """All seven metric tables from four scans of the trips.
 
-    One scan sums the trips to facts at calendar grain, which are stored and give
-    the counts of five tables. The medians, the stations, the flows and the active
-    stations scan the trips once each.
+    The first two store reductions whose size does not follow the number of trips:
+    facts at calendar grain, which give the counts of five tables, and trips per
+    period and duration, which give all medians. Stations and flows take a scan each.
     """
     spark = trips.sparkSession
-    M.compact_facts(M.trip_facts(trips, spec)).write.mode("overwrite").parquet(f"{root}/_facts")
-    facts = spark.read.parquet(f"{root}/_facts")
+
+    def reduced(name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{root}/{name}")
+        return spark.read.parquet(f"{root}/{name}")
+
+    facts = reduced("_facts", M.compact_facts(M.trip_facts(trips, spec)))
+    counts = reduced("_minute_counts", M.minute_counts(trips, spec))
 
     def store(name: str, df: DataFrame, *order) -> None:
         tables.write_metric(df.orderBy(*order) if order else df, root, name, formats)
 
     store("cube", M.fact_cube(facts, spec), "month", "dow", "hour", "member", "bike")
-    store("monthly", M.period_summary(trips, spec, median, facts), "month")
+    store("monthly", M.period_summary(trips, spec, facts=facts, counts=counts), "month")
     store("daily", M.daily_summary(facts, spec), "date")
     store("dur_hist", M.duration_hist(facts, spec), "member", "bike", "bucket_ord", "month")
     store("stations", M.station_profile(trips, spec), F.desc("starts"), "station_id")
     stations = tables.read_metric(spark, root, "stations")
     store("od", M.od_flows(trips, spec, stations, min_n, top), F.desc("n"), "start_id", "end_id")
-    store("kpi", M.kpi(trips, spec, median, facts))
+    store("kpi", M.kpi(trips, spec, facts=facts, counts=counts, stations=stations))
 
 
 def read_metrics(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -105,17 +110,14 @@ def test_results(trips: DataFrame, spec: TripSpec, plan: ExperimentPlan) -> dict
 
 
 def experiment_results(
-    trips: DataFrame, panel: DataFrame, arms: DataFrame, spec: TripSpec, unit: str,
-    plan: ExperimentPlan,
+    panel: DataFrame, arms: DataFrame, changes: DataFrame, rate: DataFrame, plan: ExperimentPlan,
 ) -> dict[str, DataFrame]:
-    """Design checks and readout, given a stored panel and stored arms."""
+    """Design checks and readout over stored unit tables; the trips are not read here."""
     fit = E.cuped_fit(panel)
     power = E.power_summary(fit, alpha=plan.alpha, power=plan.power)
     assigned = E.scenario_panel(panel, arms, fit)
-    changes = E.unit_duration_change(trips, spec, unit, arms, plan.pre1, plan.post)
     primary, unadjusted = E.readout(assigned, "y_adj"), E.readout(assigned, "y_scn")
     did = E.did(changes)
-    rate = E.rate_guardrail(trips, spec, unit, arms, plan.post)
     srm = E.srm(arms, alpha=plan.alpha)
     adjusted = E.cuped_apply(panel, fit)
     decision = E.decision_table(
@@ -148,18 +150,25 @@ def experiment_stage(
 ) -> None:
     """Run tests and experiment; write one nested record and the decision table.
 
-    Panel and arms are stored first: all later steps read these small tables, and a
-    lost executor never makes them differ between steps.
+    Panel, arms and guardrail inputs are stored first, one scan of the trips each:
+    all later steps read these small tables, and a lost executor never makes them
+    differ between steps.
     """
     unit = unit or spec.origin
     spark = trips.sparkSession
-    E.build_panel(trips, spec, unit, plan.pre1, plan.pre2, plan.post, plan.min_n) \
-        .write.mode("overwrite").parquet(f"{root}/_panel")
-    panel = spark.read.parquet(f"{root}/_panel")
-    E.block_randomise(panel, seed=plan.seed).write.mode("overwrite").parquet(f"{root}/_arms")
-    arms = spark.read.parquet(f"{root}/_arms")
 
-    results = experiment_results(trips, panel, arms, spec, unit, plan)
+    def stored(name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{root}/{name}")
+        return spark.read.parquet(f"{root}/{name}")
+
+    panel = stored("_panel", E.build_panel(
+        trips, spec, unit, plan.pre1, plan.pre2, plan.post, plan.min_n))
+    arms = stored("_arms", E.block_randomise(panel, seed=plan.seed))
+    changes = stored("_changes", E.unit_duration_change(
+        trips, spec, unit, arms, plan.pre1, plan.post))
+    rate = stored("_rate", E.rate_guardrail(trips, spec, unit, arms, plan.post))
+
+    results = experiment_results(panel, arms, changes, rate, plan)
     decision = results.pop("decision")
 
     def nest(frames: dict[str, DataFrame]):

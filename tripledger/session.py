@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import SparkSession
 
 
-def build_session(app: str = "tripledger", **conf: str) -> SparkSession:
+SHUFFLE_PARTITION_BYTES = 128 << 20
+
+
+def shuffle_width(shuffled_bytes: int) -> int:
+    """Partitions that keep a shuffle of this size at about 128 MB each."""
+    return max(200, math.ceil(shuffled_bytes / SHUFFLE_PARTITION_BYTES))
+
+
+def build_session(
+    app: str = "tripledger", shuffled_bytes: int | None = None, **conf: str,
+) -> SparkSession:
     """A session with the settings the operators assume.
 
-    Nothing here sizes the cluster: shuffle width is left to adaptive execution,
-    which coalesces small partitions and splits skewed join partitions.
+    Adaptive execution merges small shuffle partitions but never adds any, so a
+    large job has to start wide enough. ``shuffled_bytes`` is the largest shuffle to
+    expect: for cleaning, the size of the clean rows; for metrics, far less.
     """
     builder = (
         SparkSession.builder.appName(app)
@@ -21,6 +33,10 @@ def build_session(app: str = "tripledger", **conf: str) -> SparkSession:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    if shuffled_bytes:
+        builder = builder.config(
+            "spark.sql.adaptive.coalescePartitions.initialPartitionNum",
+            str(shuffle_width(shuffled_bytes)))
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
