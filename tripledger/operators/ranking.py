@@ -15,9 +15,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_STRIDE = 32
-
-
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on keys that may be null, keeping one copy of each key."""
     marked = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
@@ -28,7 +25,10 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
 def _with_split_bucket(
     df: DataFrame, order: Sequence[str], grouped: bool, n_splits: int,
 ) -> DataFrame:
-    """Add ``_b``, the number of split points at or below a row; at most ``n_splits``."""
+    """Add ``_b``, the number of split points at or below a row; at most ``n_splits``.
+
+    A binary search over the sorted split points, one column expression per halving.
+    """
     key = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     # Reading the weight keeps this branch equal to its siblings, so they share one shuffle.
     keys = df.where(F.col("_w") >= 0).select(key.alias("k"))
@@ -36,24 +36,20 @@ def _with_split_bucket(
         keys = keys.distinct()
     points = (
         keys.orderBy(F.xxhash64("k"), "k").limit(n_splits)
-        .agg(F.sort_array(F.collect_list("k")).alias("fine"))
-        .select(F.struct(
-            "fine", F.filter("fine", lambda _, i: i % _STRIDE == 0).alias("coarse")
-        ))
-        .scalar()
+        .agg(F.sort_array(F.collect_list("k"))).scalar()
     )
-    df = df.withColumn("_p", points)
-    block = F.size(F.filter(F.col("_p.coarse"), lambda s: s <= key))
-    df = df.withColumn("_block", block)
-    inside = F.slice(F.col("_p.fine"), (F.greatest("_block", F.lit(1)) - 1) * _STRIDE + 1, _STRIDE)
-    return df.withColumn("_b", F.when(F.col("_block") == 0, F.lit(0)).otherwise(
-        (F.col("_block") - 1) * _STRIDE + F.size(F.filter(inside, lambda s: s <= key))
-    )).drop("_p", "_block")
+    df = df.withColumns({"_k": key, "_p": points, "_b": F.lit(0)})
+    step = 1 << (n_splits.bit_length() - 1)
+    while step:
+        passed = F.get("_p", F.col("_b") + (step - 1)) <= F.col("_k")
+        df = df.withColumn("_b", F.col("_b") + F.when(passed, step).otherwise(0))
+        step //= 2
+    return df.drop("_k", "_p")
 
 
 def prefix_sums(
     df: DataFrame, order: Sequence[str], weight: str | None = None, by: Sequence[str] = (),
-    bucket: Column | None = None, n_splits: int = 1024,
+    bucket: Column | None = None, n_splits: int = 1023,
     before: str = "before", total: str = "total",
 ) -> DataFrame:
     """Add the sum of ``weight`` over all smaller rows of the group, and the group total.
