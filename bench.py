@@ -41,6 +41,7 @@ def main() -> None:
     def finish(name: str) -> None:
         Q.REGISTRY[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
 
+    finish("clean_trips")
     seconds = {
         "store_clean_trips": timed(lambda: Q.stored_orders(spark, sf_dir)),
         "store_panel_and_arms": timed(lambda: Q.event_arms(spark, sf_dir)),

@@ -18,7 +18,7 @@ from tripledger.functions.tails import chi2_pvalue, normal_quantile, t_pvalue
 from tripledger.operators import resampling as R
 from tripledger.operators.ranking import row_numbers
 from tripledger.operators.statistics import (
-    ALPHA, chi2_from_counts, two_sample_moments, welch_from_moments, welch_t,
+    ALPHA, chi2_two_by_two, welch_t,
 )
 from tripledger.spec import DateWindow, TripSpec
 
@@ -336,25 +336,18 @@ def rate_guardrail(
         .groupBy(F.col(unit).alias("unit"))
         .agg(F.count("*").alias("n_all"), F.count_if(C.offstation(spec)).alias("n_event"))
     )
-    counts = attach_arm(by_unit, arms).groupBy("arm").agg(
-        F.sum("n_all").alias("n_all"), F.sum("n_event").alias("n_event"))
-    long = counts.select("arm", F.explode(F.array(
-        F.struct(F.lit(True).alias("event"), F.col("n_event").alias("n")),
-        F.struct(F.lit(False).alias("event"), (F.col("n_all") - F.col("n_event")).alias("n")),
-    )).alias("c")).select("arm", "c.event", "c.n").where(F.col("n") > 0)
-
-    def rate(arm: str) -> Column:
-        here = F.col("arm") == arm
-        return F.try_divide(
-            F.sum(F.when(here, F.col("n_event"))).cast("double"),
-            F.sum(F.when(here, F.col("n_all"))).cast("double"))
-
-    test = chi2_from_counts(long, "arm", "event", p)
-    packed = test.select(F.struct(*test.columns)).scalar()
-    out = counts.agg(rate("treat").alias("rate_treat"), rate("control").alias("rate_control"))
-    fields = ["chi2", "dof", *(["p"] if p else [])]
-    return out.withColumn("_t", packed).select(
-        "rate_treat", "rate_control", *[F.col(f"_t.{f}").alias(f) for f in fields])
+    def total(arm: str, column: str) -> Column:
+        return F.sum(F.when(F.col("arm") == arm, F.col(column))).cast("double")
+
+    sums = attach_arm(by_unit, arms).agg(
+        *[total(arm, c).alias(f"{c}_{arm}") for arm in ("treat", "control")
+          for c in ("n_all", "n_event")])
+    nt, nc = F.col("n_all_treat"), F.col("n_all_control")
+    et, ec = F.col("n_event_treat"), F.col("n_event_control")
+    out = sums.select(
+        F.try_divide(et, nt).alias("rate_treat"), F.try_divide(ec, nc).alias("rate_control"),
+        chi2_two_by_two(et, nt - et, ec, nc - ec).alias("chi2"), F.lit(1).alias("dof"))
+    return out.withColumn("p", chi2_pvalue(F.col("chi2"), F.lit(1.0))) if p else out
 
 
 def guardrails(

@@ -205,6 +205,14 @@ def chi2_from_counts(counts: DataFrame, row: str, col: str, p: bool = True) -> D
     return out.withColumn("p", chi2_pvalue(F.col("chi2"), F.col("dof").cast("double"))) if p else out
 
 
+def chi2_two_by_two(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Yates-corrected chi-square of the table ((a, b), (c, d)); null if a margin is empty."""
+    n = a + b + c + d
+    gap = F.try_divide(F.abs(a * d - b * c), n)
+    spread = F.try_divide(n, (a + b) * (c + d)) * F.try_divide(n, (a + c) * (b + d)) * n
+    return F.pow(F.greatest(gap - 0.5, F.lit(0.0)), 2) * spread
+
+
 def chi2_independence(df: DataFrame, row: str, col: str, p: bool = True) -> DataFrame:
     return chi2_from_counts(contingency(df, row, col), row, col, p)
 
