@@ -15,10 +15,19 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on keys that may be null, keeping one copy of each key."""
+def join_on(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
+    never_null: Sequence[str] = (),
+) -> DataFrame:
+    """Join on keys that may be null, keeping one copy of each key.
+
+    Keys known to be set compare plainly, which lets a shuffle on them be reused.
+    """
     marked = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    on = [left[k].eqNullSafe(marked[f"_r_{k}"]) for k in keys]
+    on = [
+        left[k] == marked[f"_r_{k}"] if k in never_null else left[k].eqNullSafe(marked[f"_r_{k}"])
+        for k in keys
+    ]
     return left.join(marked, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
@@ -56,7 +65,8 @@ def prefix_sums(
 
     ``order`` must be free of nulls and unique within a group. ``bucket`` may give
     a ready-made non-decreasing function of the order, for instance the leading
-    digits of a hash.
+    digits of a hash. ``n_splits`` suits inputs that are already reduced; rows of a
+    whole trip table take more, so that a bucket still fits one task.
     """
     by = list(by)
     df = df.withColumn("_w", (F.lit(1) if weight is None else F.col(weight)).cast("bigint"))
@@ -79,7 +89,7 @@ def prefix_sums(
         Window.unboundedPreceding, Window.currentRow)
     local = tagged.withColumn("_loc", F.sum("_w").over(in_bucket) - F.col("_w"))
     return (
-        join_on(local, offsets, [*by, "_b"])
+        join_on(local, offsets, [*by, "_b"], never_null=["_b"])
         .withColumn(before, F.col("_off") + F.col("_loc"))
         .drop("_w", "_b", "_off", "_loc")
     )

@@ -112,11 +112,13 @@ def resampled_means(
 ) -> DataFrame:
     """Mean of n-of-n draws with replacement, per arm and iteration.
 
-    Units are numbered inside their arm; slot ``j`` of an iteration draws a number,
-    and an equi-join on (arm, number) fetches the value.
+    Units are numbered inside their arm, in the order of their digests; slot ``j`` of
+    an iteration draws a number, and an equi-join on (arm, number) fetches the value.
     """
+    known = units.where(F.col(value).isNotNull()).select(
+        unit, arm, value, H.digest(seed, F.col(unit)).alias("_d"))
     numbered = row_numbers(
-        units.where(F.col(value).isNotNull()).select(unit, arm, value), [unit], by=[arm])
+        known, ["_d", unit], by=[arm], bucket=F.conv(F.substring("_d", 1, 2), 16, 10).cast("int"))
     dig = H.digest(seed, F.col(arm), F.col("rn"))
     slots = numbered.select(
         F.col(arm).alias("_arm"), "total", H.slope(dig).alias("sl"), H.offset(dig).alias("of"))

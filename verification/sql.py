@@ -354,7 +354,7 @@ def bootstrap_sql(metric_sql: str, value: str, agg: str, name: str, *tables: str
     dig = digest("arm", "rn")
     local = {
         "src": metric_sql,
-        "num": "SELECT *, row_number() OVER (PARTITION BY arm ORDER BY unit) AS rn, "
+        "num": f"SELECT *, row_number() OVER (PARTITION BY arm ORDER BY {digest('unit')}, unit) AS rn, "
                "count(*) OVER (PARTITION BY arm) AS total FROM src",
         "slots": f"SELECT arm, total, {slope(dig)} AS sl, {offset(dig)} AS os FROM num",
         "draws": f"SELECT arm, i, (sl * (2 * i + 1) + os) % {P} % total + 1 AS rn "
