@@ -16,6 +16,8 @@ pytestmark = pytest.mark.skipif(not Path(SMALL).exists(), reason="test tables ar
 
 @pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_query(spark, name):
+    plan = REGISTRY[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     outcome = compare(spark, SMALL, name)
     assert outcome == "ok" or (name not in ORACLE and outcome.startswith("rows only"))
 

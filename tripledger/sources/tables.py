@@ -20,20 +20,23 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def write_trips(
     trips: DataFrame, path: str, parts: Sequence[str] = ("year", "month"),
-    replace_touched_only: bool = False, count: bool = False,
+    replace_touched_only: bool = False, count: bool = False, rebalance: bool = True,
 ) -> int | None:
     """Write Parquet partitioned by ``parts``.
 
     The rebalance hint gathers each partition into few files and lets adaptive
     execution split a large one, so a month is neither scattered over every task
-    nor squeezed through one. With ``count`` the number of rows is observed during
-    the write instead of read back.
+    nor squeezed through one. It costs a shuffle; without it every task writes a
+    file per partition it holds. With ``count`` the number of rows is observed
+    during the write instead of read back.
     """
     seen = Observation("trips_written") if count else None
     rows = trips.observe(seen, F.count(F.lit(1)).alias("n")) if count else trips
     mode = "dynamic" if replace_touched_only else "static"
+    if rebalance:
+        rows = rows.hint("rebalance", *parts)
     (
-        rows.hint("rebalance", *parts).write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("partitionOverwriteMode", mode).partitionBy(*parts).parquet(path)
     )
     return seen.get["n"] if count else None
