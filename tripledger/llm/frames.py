@@ -26,11 +26,20 @@ def texts(docs: DataFrame) -> Column:
     return F.coalesce(docs["text"].cast("string"), F.lit(""))
 
 
+def row_keys(docs: DataFrame) -> tuple[Column, Column]:
+    """(key, tie), which tell rows apart.
+
+    The key is the doc_id, or a digest of the text where that is null; the tie is a short digest of the text. Rows
+    that agree in doc_id and text share both and get equal results; rows of one doc_id with other texts do not.
+    """
+    text = texts(docs)
+    return (F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(text)).alias("key"),
+            F.hash(text).bitwiseAND(0xFFFFFF).alias("tie"))
+
+
 def identified(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a key of the row. Rows that agree in both columns get equal keys and equal results."""
-    return docs.select(
-        docs["doc_id"].cast("long").alias("doc_id"), texts(docs).alias("text"),
-        F.xxhash64(docs["doc_id"], texts(docs)).alias("row"))
+    """doc_id, text, key, tie."""
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), texts(docs).alias("text"), *row_keys(docs))
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
@@ -60,14 +69,13 @@ def _pack(batch: pa.RecordBatch) -> pa.RecordBatch:
     zip_ = zstandard.ZstdCompressor(level=3)
     packed = [zip_.compress(t.as_buffer()) for t in batch.column("text")]
     return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id"), batch.column("row"), pa.array(packed, pa.binary())],
-        ["doc_id", "row", "packed"])
+        [*(batch.column(c) for c in ("doc_id", "key", "tie")), pa.array(packed, pa.binary())],
+        ["doc_id", "key", "tie", "packed"])
 
 
 def packed_texts(rows: DataFrame) -> DataFrame:
-    """doc_id, row and the compressed text: what a shuffle of whole texts carries."""
-    return rows.select("doc_id", "row", "text").mapInArrow(
-        by_batch(_pack), "doc_id long, row long, packed binary")
+    """doc_id, key, tie and the compressed text: what a shuffle of whole texts carries."""
+    return rows.mapInArrow(by_batch(_pack), "doc_id long, key long, tie int, packed binary")
 
 
 def unpack(value: pa.Scalar) -> bytes:

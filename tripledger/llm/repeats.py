@@ -8,7 +8,8 @@
    windows, which are counted by name.
 
 No step holds a group in memory: groups are counted by aggregation, and joins meet one counted row per key on
-one side, so that a hot key can be split on the other.
+one side, so that a hot key can be split on the other. Whole texts move once, compressed; only documents
+with opened stretches move again.
 """
 
 from __future__ import annotations
@@ -21,31 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripledger.llm import rolling
-from tripledger.llm.frames import LAST_ID, OUT_ROWS, unpack
+from tripledger.llm.frames import LAST_ID, OUT_ROWS, identified, packed_texts, stored, unpack
 from tripledger.llm.rolling import Shape
 
-_STRETCH = "row long, doc long, first int, count int, core long, whole long"
-_WINDOW = "row long, doc long, k long, pos int, core long, name long"
+Symbols = Callable[[bytes], np.ndarray]
+#: Result columns of one document from its bytes and the (first, count) of its repeated windows.
+Finish = Callable[[bytes, np.ndarray, np.ndarray], tuple]
 
-
-class _Out:
-    """Column chunks gathered to batches of about OUT_ROWS rows."""
-
-    def __init__(self, names: list[str], types: list[pa.DataType]):
-        self.names, self.types = names, types
-        self.chunks: list[list[np.ndarray]] = [[] for _ in names]
-        self.rows = 0
-
-    def add(self, size: int, *columns) -> None:
-        for chunk, values in zip(self.chunks, columns):
-            chunk.append(values if isinstance(values, np.ndarray) else np.full(size, values))
-        self.rows += size
-
-    def batch(self) -> pa.RecordBatch:
-        arrays = [pa.array(np.concatenate(c).astype(t.to_pandas_dtype(), copy=False), t)
-                  for c, t in zip(self.chunks, self.types)]
-        self.chunks, self.rows = [[] for _ in self.names], 0
-        return pa.RecordBatch.from_arrays(arrays, self.names)
+_STRETCH = "key long, tie int, doc long, first int, count int, core long, whole long"
+_NAMES = "array<struct<pos: int, own: boolean, name: long, side: int>>"
 
 
 def byte_symbols(data: bytes) -> np.ndarray:
@@ -56,93 +41,152 @@ def word_symbols(data: bytes) -> np.ndarray:
     return rolling.word_symbols(data)[0]
 
 
-def _cut(symbols: Callable[[bytes], np.ndarray], shape: Shape):
+def _cut(symbols: Symbols, shape: Shape):
+    names = ["key", "tie", "doc", "first", "count", "core", "whole"]
+    types = [np.int64, np.int32, np.int64, np.int32, np.int32, np.int64, np.int64]
+
+    def packed(parts: list) -> pa.RecordBatch:
+        columns = (np.concatenate(c).astype(t, copy=False) for c, t in zip(zip(*parts), types))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    def run(batches):
+        parts, rows = [], 0
+        for batch in batches:
+            where = (batch.column(c).to_numpy() for c in ("key", "tie", "doc"))
+            for key, tie, doc, text in zip(*where, batch.column("text")):
+                found = rolling.stretches(symbols(text.as_buffer().to_pybytes()), shape)
+                size = len(found[0])
+                if size:
+                    parts.append([np.full(size, x) for x in (key, tie, doc)] + list(found))
+                    rows += size
+                if rows >= OUT_ROWS:
+                    yield packed(parts)
+                    parts, rows = [], 0
+        if parts:
+            yield packed(parts)
+    return run
+
+
+def _fields(value: pa.Scalar, *names: str) -> list[np.ndarray]:
+    if not value.is_valid:
+        return [np.zeros(0, np.int64) for _ in names]
+    return [value.values.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names]
+
+
+def _first_pass(symbols: Symbols, shape: Shape, finish: Finish, schema: pa.Schema):
+    """Finished documents, and what is still needed of those with opened stretches."""
+    name_type = pa.list_(pa.struct([("pos", pa.int32()), ("own", pa.bool_()), ("name", pa.int64()), ("side", pa.int32())]))
+    run_type = pa.list_(pa.struct([("first", pa.int32()), ("count", pa.int32())]))
+    full = pa.schema([*schema, ("doc_id", pa.int64()), ("key", pa.int64()), ("tie", pa.int32()),
+                      ("packed", pa.binary()), ("runs", run_type), ("names", name_type)])
+
+    def document(row: dict) -> tuple:
+        data = unpack(row["packed"])
+        first, count, state, core = _fields(row["parts"], "first", "count", "state", "core")
+        done = state == 0
+        if done.all():
+            return (*finish(data, first, count), *[row[c].as_py() for c in ("doc_id", "key", "tie")], None, None, None)
+        opened, n = first[~done], count[~done]
+        pos = np.repeat(opened - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
+        names = rolling.window_names(symbols(data), shape)[pos]
+        own, side = np.repeat(state[~done] == 2, n), np.repeat(core[~done].astype(np.int32), n)
+        runs = [{"first": a, "count": b} for a, b in zip(first[done].tolist(), count[done].tolist())]
+        cells = [{"pos": p, "own": o, "name": v, "side": s}
+                 for p, o, v, s in zip(pos.tolist(), own.tolist(), names.tolist(), side.tolist())]
+        return (*[None] * len(schema), *[row[c].as_py() for c in ("doc_id", "key", "tie")],
+                row["packed"].as_py(), runs, cells)
+
     def run(batches):
-        out = _Out(["row", "doc", "first", "count", "core", "whole"],
-                   [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()])
         for batch in batches:
-            for row, doc, text in zip(batch.column("row").to_numpy(), batch.column("doc").to_numpy(),
-                                      batch.column("text")):
-                first, count, core, whole = rolling.stretches(symbols(text.as_buffer().to_pybytes()), shape)
-                if len(first):
-                    out.add(len(first), row, doc, first, count, core, whole)
-                if out.rows >= OUT_ROWS:
-                    yield out.batch()
-        if out.rows:
-            yield out.batch()
+            columns = [batch.column(c) for c in batch.schema.names]
+            rows, size = [], 0
+            for values in zip(*columns):
+                row = dict(zip(batch.schema.names, values))
+                rows.append(document(row))
+                size += 1 + len(rows[-1][-1] or ())
+                if size >= OUT_ROWS:
+                    yield _batch(rows, full)
+                    rows, size = [], 0
+            if rows:
+                yield _batch(rows, full)
     return run
 
 
-def _open(symbols: Callable[[bytes], np.ndarray], shape: Shape):
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def _last_pass(finish: Finish, schema: pa.Schema):
+    full = pa.schema([*schema, ("doc_id", pa.int64()), ("key", pa.int64()), ("tie", pa.int32())])
+
     def run(batches):
-        out = _Out(["row", "doc", "k", "pos", "core", "name"],
-                   [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()])
         for batch in batches:
-            for row, packed, parts in zip(batch.column("row").to_numpy(), batch.column("packed"),
-                                          batch.column("parts")):
-                names = rolling.window_names(symbols(unpack(packed)), shape)
-                part = parts.values
-                first, count = (part.field(c).to_numpy().astype(np.int64) for c in ("first", "count"))
-                total = int(count.sum())
-                pos = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(total)
-                doc, k, core = (np.repeat(part.field(c).to_numpy(), count) for c in ("doc", "k", "core"))
-                out.add(total, row, doc, k, pos, core, names[pos])
-                if out.rows >= OUT_ROWS:
-                    yield out.batch()
-        if out.rows:
-            yield out.batch()
+            rows = []
+            for doc_id, key, tie, packed, runs, found in zip(
+                    *(batch.column(c) for c in ("doc_id", "key", "tie", "packed", "runs", "found"))):
+                first, count = _fields(runs, "first", "count")
+                more = np.array(found.as_py() or (), np.int64)
+                rows.append((*finish(unpack(packed), np.append(first, more),
+                                     np.append(count, np.ones(len(more), np.int64))),
+                             doc_id.as_py(), key.as_py(), tie.as_py()))
+            if rows:
+                yield _batch(rows, full)
     return run
 
 
-def repeated_runs(
-    rows: DataFrame, packed: DataFrame, symbols: Callable[[bytes], np.ndarray], shape: Shape, earlier: bool,
+def repeated_windows(
+    docs: DataFrame, symbols: Symbols, shape: Shape, earlier: bool, finish: Finish, schema: pa.Schema, ddl: str,
 ) -> DataFrame:
-    """(row, runs): the repeated windows of each row as an array of (first, count).
+    """What ``finish`` makes of every document and its repeated windows; doc_id, key and tie follow.
 
-    ``earlier``: only windows that also start in a document with a smaller doc_id (null ids come last and are
+    ``earlier``: windows that also start in a document with a smaller doc_id (null ids come last and are
     equal). Otherwise: windows that also start anywhere else, repeated rows included.
-    ``rows`` and ``packed`` come from :func:`frames.identified` and :func:`frames.packed_texts`.
+    ``schema`` and ``ddl`` describe the columns of ``finish``.
     """
-    cut = rows.select("row", F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"), "text").mapInArrow(
-        _cut(symbols, shape), _STRETCH)
-    counted = cut.groupBy("core").agg(
-        F.count(F.lit(1)).alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi"),
-        F.min("whole").alias("w0"), F.max("whole").alias("w1"))
-    counted = counted.where(F.col("lo") < F.col("hi") if earlier else F.col("n") > 1)
-    shared = cut.join(counted.select("core", "lo", "w0", "w1"), "core")
-    straight = shared.where(F.col("w0") == F.col("w1"))
-    if earlier:
-        straight = straight.where(F.col("doc") > F.col("lo"))
-
-    branching = shared.where(F.col("w0") != F.col("w1")).select("row", "doc", "first", "count", "core", "whole")
+    rows = identified(docs)
+    cut = rows.select("key", "tie", (F.coalesce("doc_id", F.lit(LAST_ID)) if earlier else F.lit(0).cast("long")).alias("doc"),
+                      "text").mapInArrow(_cut(symbols, shape), _STRETCH)
+    counts = [F.min("doc").alias("lo"), F.max("doc").alias("hi")] if earlier else [F.count(F.lit(1)).alias("n")]
+    counted = cut.groupBy("core").agg(*counts, F.min("whole").alias("w0"), F.max("whole").alias("w1"))
+    counted = counted.where("lo < hi" if earlier else "n > 1").select(
+        "core", F.col("lo" if earlier else "n").alias("least"), (F.col("w0") == F.col("w1")).alias("straight"))
+    shared = stored(cut.join(counted, "core"), "shared")
+
+    where = ("key", "tie", "first", "count", "core")
+    straight = shared.where("straight AND doc > least" if earlier else "straight")
+    branching = shared.where("NOT straight")
     wholes = branching.groupBy("core", "whole").agg(
-        F.count(F.lit(1)).alias("k"), F.min("doc").alias("wlo"), F.min("row").alias("rlo"))
+        F.count(F.lit(1)).alias("k"), F.min("doc").alias("wlo"), F.min("key").alias("klo"))
     branching = branching.join(wholes, ["core", "whole"])
+    # state 0: repeated; 1: opened to be met by others; 2: opened to be answered
     if earlier:
-        settled = branching.where(F.col("doc") > F.col("wlo"))
-        opened = branching.where(F.col("doc") == F.col("wlo"))
+        state = F.when(F.col("doc") > F.col("wlo"), 0).when(F.col("doc") > F.col("least"), 2).otherwise(1)
+        branching = branching.withColumn("state", state)
     else:
-        settled = branching.where(F.col("k") > 1)
-        opened = branching.where(F.col("row") == F.col("rlo"))
-    parts = opened.groupBy("row").agg(F.collect_list(F.struct("doc", "k", "first", "count", "core")).alias("parts"))
-    windows = packed.join(parts, "row").select("row", "packed", "parts").mapInArrow(_open(symbols, shape), _WINDOW)
-    names = windows.groupBy("core", "name").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("lo"))
-    names = names.where(F.col("n") > 1).select("core", "name", "lo")
-    found = windows.join(names, ["core", "name"]).where(
-        F.col("lo") < F.col("doc") if earlier else F.col("k") == 1)
-
-    run = ("row", "first", "count")
-    return (
-        straight.select(*run).unionByName(settled.select(*run))
-        .unionByName(found.select("row", F.col("pos").alias("first"), F.lit(1).alias("count")))
-        .groupBy("row").agg(F.collect_list(F.struct("first", "count")).alias("runs")))
-
-
-def removed_mask(runs: pa.Scalar, length: int, size: int) -> np.ndarray:
-    """Mask of the symbols that the repeated windows of one row cover."""
-    if not runs.is_valid:
-        return np.zeros(size, bool)
-    part = runs.values
-    return rolling.covered(
-        part.field("first").to_numpy().astype(np.int64), part.field("count").to_numpy().astype(np.int64),
-        length, size)
+        state = F.when(F.col("k") == 1, 2).otherwise(0)
+        branching = branching.withColumn("state", state)
+        met = branching.where("k > 1 AND key = klo").withColumn("state", F.lit(1))
+        branching = branching.unionByName(met)
+    parts = straight.withColumn("state", F.lit(0)).select(*where, "state").unionByName(branching.select(*where, "state"))
+    parts = parts.groupBy("key", "tie").agg(F.collect_list(F.struct("first", "count", "state", "core")).alias("parts"))
+    own = "doc_id long, key long, tie int"
+    once = stored(
+        packed_texts(rows).join(parts, ["key", "tie"], "left").mapInArrow(
+            _first_pass(symbols, shape, finish, schema),
+            f"{ddl}, {own}, packed binary, runs array<struct<first: int, count: int>>, names {_NAMES}"), "once")
+
+    waiting = once.where("packed IS NOT NULL")
+    windows = waiting.select("doc_id", "key", "tie", F.explode("names").alias("w")).select(
+        "key", "tie", "w.*", F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"))
+    counts = F.min("doc") if earlier else F.count(F.lit(1))
+    names = windows.groupBy("name", "side").agg(counts.alias("seen"))
+    if not earlier:
+        names = names.where("seen > 1")
+    found = windows.where("own").join(names, ["name", "side"])
+    if earlier:
+        found = found.where("seen < doc")
+    found = found.groupBy("key", "tie").agg(F.collect_list("pos").alias("found"))
+    rest = waiting.drop("names").join(found, ["key", "tie"], "left").mapInArrow(
+        _last_pass(finish, schema), f"{ddl}, {own}")
+    return once.where("packed IS NULL").select(*rest.columns).unionByName(rest)

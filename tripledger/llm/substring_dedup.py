@@ -5,8 +5,8 @@ The words of a text are the symbols of a De Bruijn graph: a window of ``length``
 compacted before anything is shuffled: consecutive windows with one anchor form one stretch, and a stretch that is
 the only one around its ``core`` is a path without branches in the whole corpus, answered as one row by one
 Spark join. Only branching stretches are opened into single edges, which a second join answers.
-The coordinates of every run (row, first window, count) lead back to the document; there they are laid over the
-words of the text itself.
+The coordinates of every run (document, first window, count) lead back to the source, where they are laid over
+the words of the text itself.
 
 Defined cases: a null text has no words; documents below ``length`` words keep all; of documents with
 one doc_id none is earlier than another; a null doc_id comes after all others; columns other than doc_id and text
@@ -21,64 +21,38 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tripledger.llm.frames import by_batch, identified, packed_texts, read_table, unpack
-from tripledger.llm.repeats import removed_mask, repeated_runs, word_symbols
-from tripledger.llm.rolling import Shape, word_bounds
+from tripledger.llm.frames import read_table
+from tripledger.llm.repeats import repeated_windows, word_symbols
+from tripledger.llm.rolling import Shape, covered, word_bounds
 
 #: 50-word windows, anchored by the smallest 6-word gram among 20.
 SHAPE = Shape(length=50, gram=6, reach=20)
 
 
-def kept_words(data: bytes, runs: pa.Scalar, length: int) -> tuple[int, int, bytes]:
+def kept_words(data: bytes, first: np.ndarray, count: np.ndarray, length: int) -> tuple[int, int, bytes]:
     """Number of words, number of removed words, kept words joined by one space."""
     start, end = word_bounds(data)
-    gone = removed_mask(runs, length, len(start))
-    if not gone.any():
-        return len(start), 0, b" ".join(data[a:b] for a, b in zip(start.tolist(), end.tolist()))
-    keep = np.flatnonzero(~gone)
-    kept = b" ".join(data[a:b] for a, b in zip(start[keep].tolist(), end[keep].tolist()))
-    return len(start), len(start) - len(keep), kept
-
-
-def _apply(length: int):
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n_words, n_removed, kept = [], [], []
-        for packed, runs in zip(batch.column("packed"), batch.column("runs")):
-            n, gone, words = kept_words(unpack(packed), runs, length)
-            n_words.append(n)
-            n_removed.append(gone)
-            kept.append(words)
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
-             pa.array(kept, pa.binary()).cast(pa.string())],
-            ["doc_id", "n_words", "n_removed", "kept"])
-    return by_batch(make)
-
-
-def _digest(length: int):
-    inner = _apply(length)
-
-    def run(batches):
-        for batch in inner(batches):
-            digest = [hashlib.sha256(k.as_buffer()).hexdigest() for k in batch.column("kept")]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(digest)], [*batch.schema.names[:3], "kept_sha256"])
-    return run
-
-
-def _located(docs: DataFrame, shape: Shape) -> DataFrame:
-    rows = identified(docs)
-    packed = packed_texts(rows)
-    runs = repeated_runs(rows, packed, word_symbols, shape, earlier=True)
-    return packed.join(runs, "row", "left").select("doc_id", "packed", "runs")
+    keep = ~covered(first, count, length, len(start))
+    kept = b" ".join([data[a:b] for a, b in zip(start[keep].tolist(), end[keep].tolist())])
+    return len(start), int((~keep).sum()), kept
+
+
+def _result(docs: DataFrame, shape: Shape, name: str, show) -> DataFrame:
+    def finish(data: bytes, first: np.ndarray, count: np.ndarray) -> tuple:
+        n_words, n_removed, kept = kept_words(data, first, count, shape.length)
+        return n_words, n_removed, show(kept)
+
+    schema = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), (name, pa.string())])
+    return repeated_windows(
+        docs, word_symbols, shape, True, finish, schema, f"n_words long, n_removed long, {name} string",
+    ).select("doc_id", "n_words", "n_removed", name)
 
 
 def substring_dedup(docs: DataFrame, shape: Shape = SHAPE) -> DataFrame:
     """doc_id, n_words, n_removed, kept: the text without word sequences of an earlier document."""
-    return _located(docs, shape).mapInArrow(
-        _apply(shape.length), "doc_id long, n_words long, n_removed long, kept string")
+    return _result(docs, shape, "kept", bytes.decode)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _located(read_table(spark, sf_dir, "documents"), SHAPE).mapInArrow(
-        _digest(SHAPE.length), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _result(read_table(spark, sf_dir, "documents"), SHAPE, "kept_sha256",
+                   lambda kept: hashlib.sha256(kept).hexdigest())

@@ -6,7 +6,7 @@ The steps of difference-cover suffix sorting, bounded to ``length`` bytes:
   bytes have sampled suffixes at one common offset, here because the anchor depends on the string alone;
 * sampled suffixes get names. A name is a 64-bit fingerprint of the prefix: equal prefixes, equal names, so that
   naming needs no global rank and longer names come from prefix sums instead of recursion;
-* suffixes meet by name in shuffles; those whose prefix has no equal leave at once;
+* suffixes meet by name in sorted shuffles; those whose prefix has no equal leave at once;
 * the remaining suffixes, between the samples of branching groups, are merged in by the name of their own
   ``length`` bytes, and equal prefixes are found.
 
@@ -22,62 +22,55 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tripledger.llm.frames import by_batch, identified, packed_texts, read_table, unpack
-from tripledger.llm.repeats import byte_symbols, removed_mask, repeated_runs
-from tripledger.llm.rolling import Shape
+from tripledger.llm.frames import read_table, row_keys
+from tripledger.llm.repeats import byte_symbols, repeated_windows
+from tripledger.llm.rolling import Shape, covered
 
 #: 400-byte strings, anchored by the smallest 16-byte gram among 128.
 SHAPE = Shape(length=400, gram=16, reach=128)
 
 
-def _apply(length: int):
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n_bytes, n_removed, n_spans, kept = [], [], [], []
-        for packed, runs in zip(batch.column("packed"), batch.column("runs")):
-            data = unpack(packed)
-            n_bytes.append(len(data))
-            if runs.is_valid:
-                gone = removed_mask(runs, length, len(data))
-                n_removed.append(int(gone.sum()))
-                n_spans.append(int((gone[1:] & ~gone[:-1]).sum() + gone[0]))
-                data = np.frombuffer(data, np.uint8)[~gone].tobytes()
-            else:
-                n_removed.append(0)
-                n_spans.append(0)
-            kept.append(data)
-        return pa.RecordBatch.from_arrays(
-            [batch.column("row"), batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)),
-             pa.array(kept, pa.binary())],
-            ["row", "doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-    return by_batch(make)
-
-
-def _digest(length: int):
-    inner = _apply(length)
-
-    def run(batches):
-        for batch in inner(batches):
-            digest = [hashlib.sha256(k.as_buffer()).hexdigest() for k in batch.column("kept")]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:5], pa.array(digest)], [*batch.schema.names[1:5], "kept_sha256"])
-    return run
-
-
-def _located(docs: DataFrame, shape: Shape) -> DataFrame:
-    rows = identified(docs)
-    packed = packed_texts(rows)
-    runs = repeated_runs(rows, packed, byte_symbols, shape, earlier=False)
-    return packed.join(runs, "row", "left").select("row", "doc_id", "packed", "runs")
+def kept_bytes(data: bytes, first: np.ndarray, count: np.ndarray, length: int) -> tuple[int, int, int, bytes]:
+    """Number of bytes, of removed bytes and of removed runs, and the remaining bytes."""
+    gone = covered(first, count, length, len(data))
+    runs = int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum())
+    return len(data), int(gone.sum()), runs, np.frombuffer(data, np.uint8)[~gone].tobytes() if runs else data
+
+
+def _result(docs: DataFrame, shape: Shape, name: str, kind: pa.DataType, ddl: str, show) -> DataFrame:
+    def finish(data: bytes, first: np.ndarray, count: np.ndarray) -> tuple:
+        *numbers, kept = kept_bytes(data, first, count, shape.length)
+        return (*numbers, show(kept))
+
+    numbers = ("n_bytes", "n_removed", "n_spans")
+    schema = pa.schema([*((n, pa.int64()) for n in numbers), (name, kind)])
+    return repeated_windows(
+        docs, byte_symbols, shape, False, finish, schema,
+        ", ".join(f"{n} long" for n in numbers) + f", {name} {ddl}")
 
 
 def suffix_dedup(docs: DataFrame, shape: Shape = SHAPE) -> DataFrame:
-    """row, doc_id, n_bytes, n_removed, n_spans, kept: bytes left of each text. ``row``: see frames.identified."""
-    return _located(docs, shape).mapInArrow(
-        _apply(shape.length),
-        "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    """n_bytes, n_removed, n_spans, kept (bytes) and doc_id, key, tie (see frames.identified) of every row."""
+    return _result(docs, shape, "kept", pa.binary(), "binary", lambda kept: kept)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _located(read_table(spark, sf_dir, "documents"), SHAPE).mapInArrow(
-        _digest(SHAPE.length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _result(read_table(spark, sf_dir, "documents"), SHAPE, "kept_sha256", pa.string(), "string",
+                   lambda kept: hashlib.sha256(kept).hexdigest()).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def suffix_stage(docs: DataFrame) -> DataFrame:
+    """All rows and columns of documents; text and n_chars without repeated strings.
+
+    A character of which a part goes, goes as a whole. A null text stays null.
+    """
+    kept = _result(docs, SHAPE, "kept", pa.string(), "string", lambda kept: kept.decode("utf-8", "ignore"))
+    kept = kept.select("key", "tie", "kept").dropDuplicates(["key", "tie"])
+    rest = docs.select(
+        *[c for c in docs.columns if c not in ("text", "n_chars")], docs["text"].isNull().alias("_void"),
+        *row_keys(docs)).join(kept, ["key", "tie"])
+    text = F.when(F.col("_void"), None).otherwise(F.col("kept"))
+    return rest.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
