@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tripledger.llm import exact_dedup
+from tripledger.llm.exact_dedup import op7_exact_dedup
+from tripledger.llm.simhash import op2_simhash
 from tripledger.llm.substring_dedup import op1_substring_dedup
 from tripledger.llm.suffix_dedup import op10_suffix_dedup
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_simhash": op2_simhash,
+    "op7_exact_dedup": op7_exact_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op7_exact_dedup": exact_dedup.ORACLE,
+}
