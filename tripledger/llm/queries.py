@@ -8,14 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tripledger.llm import exact_dedup
 from tripledger.llm.exact_dedup import op7_exact_dedup
+from tripledger.llm.quality import op6_quality
+from tripledger.llm.sentencepiece_ids import op8_sentencepiece
 from tripledger.llm.simhash import op2_simhash
 from tripledger.llm.substring_dedup import op1_substring_dedup
 from tripledger.llm.suffix_dedup import op10_suffix_dedup
+from tripledger.llm.token_files import op5_token_files
+from tripledger.llm.toxicity import op9_toxicity
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash": op2_simhash,
+    "op5_token_files": op5_token_files,
+    "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op9_toxicity": op9_toxicity,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
