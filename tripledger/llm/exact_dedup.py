@@ -93,9 +93,14 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_stage(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all columns; ``docs`` is read from files."""
+    """The rows that stay, with all columns."""
+    place = [F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_p")]
+    try:
+        placed = docs.select("*", *place)
+    except AnalysisException:
+        docs = stored(docs, "content")
+        placed = docs.select("*", *place)
     keep = exact_groups(docs).where(_stays()).select(F.col("file").alias("_f"), F.col("pos").alias("_p"))
-    placed = docs.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_p"))
     return placed.join(keep, ["_f", "_p"], "left_semi").select(*docs.columns)
 
 

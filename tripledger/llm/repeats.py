@@ -75,40 +75,48 @@ def _fields(value: pa.Scalar, *names: str) -> list[np.ndarray]:
 
 def _first_pass(symbols: Symbols, shape: Shape, finish: Finish, schema: pa.Schema):
     """Finished documents, and what is still needed of those with opened stretches."""
-    name_type = pa.list_(pa.struct([("pos", pa.int32()), ("own", pa.bool_()), ("name", pa.int64()), ("side", pa.int32())]))
     run_type = pa.list_(pa.struct([("first", pa.int32()), ("count", pa.int32())]))
-    full = pa.schema([*schema, ("doc_id", pa.int64()), ("key", pa.int64()), ("tie", pa.int32()),
-                      ("packed", pa.binary()), ("runs", run_type), ("names", name_type)])
-
-    def document(row: dict) -> tuple:
-        data = unpack(row["packed"])
-        first, count, state, core = _fields(row["parts"], "first", "count", "state", "core")
-        done = state == 0
-        if done.all():
-            return (*finish(data, first, count), *[row[c].as_py() for c in ("doc_id", "key", "tie")], None, None, None)
-        opened, n = first[~done], count[~done]
-        pos = np.repeat(opened - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
+    own_columns = [("doc_id", pa.int64()), ("key", pa.int64()), ("tie", pa.int32())]
+    full = pa.schema([*schema, *own_columns, ("packed", pa.binary()), ("runs", run_type)])
+    unfinished = [None] * len(schema)
+
+    def opened(data: bytes, first, count, own, core) -> list[np.ndarray]:
+        pos = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum()))
         names = rolling.window_names(symbols(data), shape)[pos]
-        own, side = np.repeat(state[~done] == 2, n), np.repeat(core[~done].astype(np.int32), n)
-        runs = [{"first": a, "count": b} for a, b in zip(first[done].tolist(), count[done].tolist())]
-        cells = [{"pos": p, "own": o, "name": v, "side": s}
-                 for p, o, v, s in zip(pos.tolist(), own.tolist(), names.tolist(), side.tolist())]
-        return (*[None] * len(schema), *[row[c].as_py() for c in ("doc_id", "key", "tie")],
-                row["packed"].as_py(), runs, cells)
+        return [pos.astype(np.int32), np.repeat(own, count), names, np.repeat(core.astype(np.int32), count)]
+
+    def packed_rows(rows: list[tuple], cells: list[list[np.ndarray]]) -> pa.RecordBatch:
+        sizes = np.array([len(c[0]) if c else 0 for c in cells])
+        parts = [c for c in cells if c] or [[np.zeros(0, t) for t in (np.int32, bool, np.int64, np.int32)]]
+        struct = pa.StructArray.from_arrays(
+            [pa.array(np.concatenate(c)) for c in zip(*parts)], ["pos", "own", "name", "side"])
+        names = pa.ListArray.from_arrays(
+            pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), struct)
+        batch = _batch(rows, full)
+        return pa.RecordBatch.from_arrays([*batch.columns, names], [*full.names, "names"])
 
     def run(batches):
         for batch in batches:
-            columns = [batch.column(c) for c in batch.schema.names]
-            rows, size = [], 0
-            for values in zip(*columns):
-                row = dict(zip(batch.schema.names, values))
-                rows.append(document(row))
-                size += 1 + len(rows[-1][-1] or ())
-                if size >= OUT_ROWS:
-                    yield _batch(rows, full)
-                    rows, size = [], 0
+            rows, cells, size = [], [], 0
+            columns = [batch.column(c) for c in ("doc_id", "key", "tie", "packed", "parts")]
+            for doc_id, key, tie, packed, parts in zip(*columns):
+                data = unpack(packed)
+                first, count, state, core = _fields(parts, "first", "count", "state", "core")
+                done = state == 0
+                who = (doc_id.as_py(), key.as_py(), tie.as_py())
+                if done.all():
+                    rows.append((*finish(data, first, count), *who, None, None))
+                    cells.append([])
+                else:
+                    runs = [{"first": a, "count": b} for a, b in zip(first[done].tolist(), count[done].tolist())]
+                    rows.append((*unfinished, *who, packed.as_py(), runs))
+                    cells.append(opened(data, first[~done], count[~done], state[~done] == 2, core[~done]))
+                    size += len(cells[-1][0])
+                if size + len(rows) >= OUT_ROWS:
+                    yield packed_rows(rows, cells)
+                    rows, cells, size = [], [], 0
             if rows:
-                yield _batch(rows, full)
+                yield packed_rows(rows, cells)
     return run
 
 
@@ -151,6 +159,8 @@ def repeated_windows(
     counted = cut.groupBy("core").agg(*counts, F.min("whole").alias("w0"), F.max("whole").alias("w1"))
     counted = counted.where("lo < hi" if earlier else "n > 1").select(
         "core", F.col("lo" if earlier else "n").alias("least"), (F.col("w0") == F.col("w1")).alias("straight"))
+    # written first, so that the join below meets two plain exchanges and a hot core can be split
+    counted = stored(counted, "cores")
     shared = stored(cut.join(counted, "core"), "shared")
 
     where = ("key", "tie", "first", "count", "core")

@@ -81,6 +81,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id; all columns stay."""
-    heads = simhash_groups(docs).groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    return docs.join(heads, "doc_id", "left_semi")
+    """One document of each group stays, the one with the smallest doc_id, with all columns.
+
+    Rows without a doc_id cannot be told apart and all stay.
+    """
+    others = simhash_groups(docs).where("doc_id > component_id").select("doc_id")
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
