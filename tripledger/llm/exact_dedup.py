@@ -67,7 +67,8 @@ def exact_groups(docs: DataFrame, files_per_batch: int | None = None) -> DataFra
     keys = rows.select("digest", *_WHO)
     state = stored(retained(keys, files_per_batch), "retained")
     hits = state.where("n > 1")
-    members = rows.join(hits.select("digest", "keep"), "digest")
+    # whole texts move once; from here on only those of hits do
+    members = stored(rows.join(hits.select("digest", "keep"), "digest"), "members")
     kept = members.where((F.col("file") == F.col("keep.file")) & (F.col("pos") == F.col("keep.pos")))
     kept = kept.select("digest", F.col("text").alias("kept_text"))
     checked = members.join(kept, "digest").select(
