@@ -68,9 +68,9 @@ def suffix_stage(docs: DataFrame) -> DataFrame:
     A character of which a part goes, goes as a whole. A null text stays null.
     """
     kept = _result(docs, SHAPE, "kept", pa.string(), "string", lambda kept: kept.decode("utf-8", "ignore"))
-    kept = kept.select("key", "tie", "kept").dropDuplicates(["key", "tie"])
-    rest = docs.select(
-        *[c for c in docs.columns if c not in ("text", "n_chars")], docs["text"].isNull().alias("_void"),
-        *row_keys(docs)).join(kept, ["key", "tie"])
-    text = F.when(F.col("_void"), None).otherwise(F.col("kept"))
-    return rest.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    kept = kept.select(F.col("key").alias("_k"), F.col("tie").alias("_t"), F.col("kept").alias("_kept"))
+    key, tie = row_keys(docs)
+    rest = docs.withColumn("_void", docs["text"].isNull()).withColumn("_k", key).withColumn("_t", tie)
+    rest = rest.drop("text", "n_chars").join(kept.dropDuplicates(["_k", "_t"]), ["_k", "_t"])
+    rest = rest.withColumn("text", F.when(~F.col("_void"), F.col("_kept")))
+    return rest.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
