@@ -33,7 +33,8 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, learn: Column
 def isotonic(score, label):
     """Knots (score, probability) of the increasing step function closest to the labels, by pooling violators.
 
-    Equal scores are pooled first. Between knots the probability is interpolated.
+    Equal scores are pooled first. A block keeps its value from its first to its last score; between blocks the
+    probability is interpolated.
     """
     import numpy as np
 
@@ -43,9 +44,10 @@ def isotonic(score, label):
     value = np.bincount(inverse, weights=np.asarray(label, float)[order]) / weight
     blocks: list[list[float]] = []
     for x, v, w in zip(xs, value, weight):
-        blocks.append([v, w, x * w])
+        blocks.append([v, w, x, x])
         while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-            v2, w2, x2 = blocks.pop()
-            v1, w1, x1 = blocks.pop()
-            blocks.append([(v1 * w1 + v2 * w2) / (w1 + w2), w1 + w2, x1 + x2])
-    return np.array([b[2] / b[1] for b in blocks]), np.array([b[0] for b in blocks])
+            v2, w2, _, end = blocks.pop()
+            v1, w1, start, _ = blocks.pop()
+            blocks.append([(v1 * w1 + v2 * w2) / (w1 + w2), w1 + w2, start, end])
+    knots = [(x, v) for v, _, start, end in blocks for x in dict.fromkeys((start, end))]
+    return np.array([x for x, _ in knots]), np.array([v for _, v in knots])

@@ -28,7 +28,7 @@ FOLDS, LEARN_NOT, THRESHOLD = 3, 1, 0.7
 #: Labelled rows looked at; of them, rows trained on (toxic and other) and their words.
 SAMPLE, TOXIC, OTHER, MAX_WORDS = 12_000, 1_200, 2_000, 1_600_000
 GRAMS, BUCKETS, WIDTH, SPAN, SEED = (3, 4, 5, 6), 1 << 17, 4, 4, 23
-STEPS, RATE, LENGTH = 40, 0.08, 0.5
+STEPS, RATE, LENGTH, DECAY = 40, 0.08, 0.5, 1e-5
 #: N-grams in fewer texts of the sample stay at zero.
 MIN_TEXTS = 5
 FIT_SHARE = 0.7
@@ -185,7 +185,7 @@ def train(sample: list[str], label: np.ndarray) -> tuple[np.ndarray, float]:
             owner = np.repeat(np.arange(a, b, dtype=np.int32), sizes[a:b])
             for k in range(WIDTH):
                 grad_emb[:, k] += np.bincount(flat[ends[a]: ends[b]], grad_word[owner, k], BUCKETS)
-        grad_emb = known * grad_emb
+        grad_emb = known * grad_emb + DECAY * emb
         for p, g, (m, v) in zip((emb, layer, bias), (grad_emb, hidden.T @ error, error.sum(axis=0)), moments):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
