@@ -89,7 +89,7 @@ def test_power_formulas_on_published_statistics(spark):
         [(391, 41.59981170137594, 33.57065887500566, 1.0600735008473747, 0.9938941935120601,
           3.9507382974617316)],
         "n_units long, mu0 double, sd0 double, theta double, rho double, resid_sd double")
-    got = one(E.power_summary(fit))
+    got = one(E.power_summary(fit, planned_max=180))
     assert got["n_per_arm"] == 180
     assert got["n_needed"] == pytest.approx(4090.115822367798, rel=1e-4)
     assert got["mde_pct"] == pytest.approx(0.2389562173367606, rel=1e-4)
@@ -207,3 +207,17 @@ def test_decision_table_on_published_figures(spark):
     assert not one(E.launch_decision(srm.select(F.lit(False).alias("srm_ok")), table))["launch"]
     worse = rows(E.decision_table(primary, raw, did.withColumn("did", F.lit(-0.6)), rate, power), "ord")
     assert worse[3]["verdict"] == "violated"
+
+
+def test_planned_size_has_no_maximum_of_its_own(spark):
+    sizes = spark.createDataFrame([(11,), (12,), (500,), (1001,)], "n int").select(
+        E.arm_size(F.col("n")).alias("free"), E.arm_size(F.col("n"), 180).alias("most")).collect()
+    assert [tuple(r) for r in sizes] == [(None, None), (1, 1), (245, 180), (495, 180)]
+
+
+def test_gap_of_many_units_uses_them_all(spark):
+    """With 500 units the arms have 245 each: the spread is that of means of 245, not of 180."""
+    df = panel(spark, [(f"u{i}", float(i % 50), 1.0, 1.0) for i in range(500)])
+    got = one(E.randomisation_gap(df, "y_pre1", iterations=400))["pure_random_sd"]
+    sd = math.sqrt((50 ** 2 - 1) / 12)
+    assert abs(got / (sd * math.sqrt(2 / 245 * (1 - 0.0)) ) - 1) < 0.12

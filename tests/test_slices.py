@@ -118,3 +118,15 @@ def test_buckets_keep_their_order_and_empty_cells(spark):
         "month int, member string, bike string, bucket string, bucket_ord int, n long")
     got = rows(S.bucket_by_rider(hist, 1), "bucket")
     assert got["0-5"]["n_casual"] == 0 and got["5-10"]["n_member"] == 3
+
+
+def test_values_off_the_axis_stay(spark):
+    cube = spark.createDataFrame(
+        [(1, 1, 8, "member", "electric_bike", 2, 1.0), (13, 1, 8, "member", "electric_bike", 5, 1.0),
+         (None, 1, None, "casual", "classic_bike", 7, 1.0)],
+        "month int, dow int, hour int, member string, bike string, n bigint, sum_min double")
+    got = {r["month"]: (r["n_member"], r["n_casual"]) for r in S.monthly_stack(cube).collect()}
+    assert len(got) == 14 and got[13] == (5, 0) and got[None] == (0, 7) and got[2] == (0, 0)
+    assert {r["month"] for r in S.class_structure(cube).collect()} == {*range(1, 14), None}
+    assert sum(r["n"] for r in S.week_heat(cube).collect()) == 14
+    assert {r["hour"] for r in S.hour_curves(cube).collect()} == {*range(24), None}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import one, rows
 from tripledger.functions import columns as C
+from tripledger.functions import hashing as H
 from tripledger.functions import tails
 from tripledger.operators import resampling as R
 from tripledger.operators import statistics as S
@@ -221,3 +222,56 @@ def test_share_and_helpers(spark):
     got = [r[0] for r in df.select(C.share(F.col("a"), F.col("b"))).collect()]
     assert got == [0.0, 33.3, 66.7]
     assert json.loads(df.select(F.to_json(F.struct(C.corridor_weight(F.col("b")).alias("w")))).first()[0])["w"] == 1.0
+
+
+def test_bootstrap_of_a_small_sample_of_many_rows(spark):
+    """The spread of the replicates does not collapse when the sub-sample is a tiny part of the data."""
+    m, n = 40, 4_000_000
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+    try:
+        df = spark.range(2 * n).select(
+            "id", F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("g"),
+            (F.xxhash64("id") % 1000).cast("double").alias("v"))
+        sample = R.fixed_subsample(df, "id", "g", ("a", "b"), m, 7)
+        se = S.welch_t(sample, "v", "g", "a", "b", p=False).head()["se"]
+        sd = R.bootstrap_diff(df, "v", "id", "g", "a", "b", m=m, iterations=2000, seed=7).head()["boot_sd"]
+    finally:
+        spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    assert m / n <= 1e-5 and abs(sd / se - 1) < 0.15
+
+
+def test_bootstrap_uses_all_rows(spark):
+    df = spark.range(20_000).select(
+        "id", F.when(F.col("id") < 10_000, "a").otherwise("b").alias("g"), (F.col("id") % 10).cast("double").alias("v"))
+    got = R.bootstrap_diff(df, "v", "id", "g", "a", "b", iterations=400, cells=500).head()
+    se = S.welch_t(df, "v", "g", "a", "b", p=False).head()["se"]
+    assert abs(got["boot_mean"]) < 4 * se and abs(got["boot_sd"] / se - 1) < 0.15
+
+
+def test_poisson_bounds_leave_nothing():
+    bounds = R.poisson_thresholds()
+    assert bounds[-1] >= H.P - 1 and bounds == sorted(bounds)
+
+
+@pytest.mark.parametrize("df", [3, 50, 1e4, 1e7, 1e9, 1e12])
+def test_t_tail_at_any_df(df):
+    t = np.array([0.0, 1e-4, 0.5, 1.96, 4.0, 8.0])
+    p = tails.t_two_sided(t, np.full_like(t, df))
+    assert p[0] == 1 and np.all(np.diff(p) < 0)
+    if df >= 1e4:  # the normal limit and its first two corrections
+        z = tails.normal_two_sided(t)
+        density = np.exp(-t * t / 2) / np.sqrt(2 * np.pi)
+        first = density * (t + t ** 3) / (2 * df)
+        second = density * (3 * t ** 7 - 7 * t ** 5 - 5 * t ** 3 - 3 * t) / (48 * df ** 2)
+        assert np.allclose(p, z + first + second, rtol=1e-6, atol=1e-11)
+
+
+def test_t_tail_has_no_step_at_the_limit():
+    t = np.array([0.3, 1.0, 1.7, 1.8, 2.5, 5.0])
+    below, above = (tails.t_two_sided(t, np.full_like(t, df)) for df in (1e6, 1e6 + 1))
+    assert np.allclose(below, above, rtol=0, atol=2e-11)
+
+
+def test_known_t_tails():
+    assert np.allclose(tails.t_two_sided([12.706204736], [1]), 0.05, atol=1e-10)
+    assert np.allclose(tails.t_two_sided([2.085963447], [20]), 0.05, atol=1e-9)

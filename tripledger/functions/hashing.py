@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 P = 2_147_483_647
 
 
-def digest(seed: int | str, *keys: Column) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]))
+def digest(seed: int | str, *keys: Column, purpose: str = "") -> Column:
+    """Digest of the keys. Decisions of different purpose draw from different digests; a null key has a mark."""
+    marked = [F.coalesce(k.cast("string"), F.lit("\\N")) for k in keys]
+    return F.md5(F.concat_ws("|", F.lit(f"{seed}{purpose}"), *marked))
 
 
 def _hex_int(hex_text: Column) -> Column:
@@ -33,6 +35,16 @@ def digest_uniform(dig: Column) -> Column:
     return _hex_int(F.substring(dig, 1, 8)) / F.lit(4294967296.0)
 
 
+def digest_pick(dig: Column) -> Column:
+    """Uniform number in [0, 1) from digits that neither slope nor offset uses."""
+    return _hex_int(F.substring(dig, 17, 8)) / F.lit(4294967296.0)
+
+
+def digest_cell(dig: Column, cells: int) -> Column:
+    """Integer in 0 … cells-1."""
+    return _hex_int(F.substring(dig, 25, 8)) % cells
+
+
 def digest_coin(dig: Column) -> Column:
     """0 or 1 from the first hex digit."""
     return _hex_int(F.substring(dig, 1, 1)) % 2

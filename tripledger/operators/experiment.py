@@ -24,7 +24,6 @@ from tripledger.spec import DateWindow, TripSpec
 
 POWER = 0.80
 SEED = 20250801
-PLANNED_MAX = 180
 SCENARIO_MARGIN = 1.25
 DURATION_FACTOR = 0.98
 
@@ -138,8 +137,11 @@ def cuped_apply(
     ).drop("_fit")
 
 
-def arm_size(n_units: Column, planned_max: int = PLANNED_MAX) -> Column:
-    return F.least(F.lit(planned_max), F.floor(n_units / 2) - 5).cast("bigint")
+def arm_size(n_units: Column, planned_max: int | None = None) -> Column:
+    """Half the units less five, at most ``planned_max``; null below twelve units."""
+    half = F.floor(F.when(n_units >= 12, n_units) / 2) - 5
+    size = half if planned_max is None else F.when(half > planned_max, planned_max).otherwise(half)
+    return size.cast("bigint")
 
 
 def _z_sum(alpha: float, power: float) -> tuple[float, float]:
@@ -162,7 +164,7 @@ def detectable_effect(n: Column, alpha: float = ALPHA, power: float = POWER) ->
 
 def power_summary(
     fit: DataFrame, lift: float = 0.05, alpha: float = ALPHA, power: float = POWER,
-    planned_max: int = PLANNED_MAX,
+    planned_max: int | None = None,
 ) -> DataFrame:
     """Units needed for a lift, planned arm size, detectable effects raw and adjusted."""
     n = F.col("n_per_arm")
@@ -212,13 +214,13 @@ def aa_calibration(
 
 def randomisation_gap(
     panel: DataFrame, metric: str, n_arm: Column | int | None = None, iterations: int = 200,
-    seed: int = SEED,
+    seed: int = SEED, planned_max: int | None = None,
 ) -> DataFrame:
     """Baseline gap between two completely randomised arms: its spread and worst case."""
     size = F.lit(n_arm) if isinstance(n_arm, int) else n_arm
     if size is None:
-        size = arm_size(F.col("total"))
-    order = R.permute(panel.select("unit", metric), "unit", iterations, seed).withColumn("_size", size)
+        size = arm_size(F.col("total"), planned_max)
+    order = R.permute(panel.select("unit", metric), "unit", iterations, seed, "gap").withColumn("_size", size)
     rn = F.col("rn")
     gaps = order.groupBy("iteration").agg((
         F.avg(F.when(rn <= F.col("_size"), F.col(metric)))
@@ -242,7 +244,7 @@ def block_randomise(
     panel: DataFrame, level: str = "y_pre1", unit: str = "unit", seed: int = SEED,
 ) -> DataFrame:
     """One treated and one control unit per pair, by a coin per pair."""
-    coin = H.digest_coin(H.digest(seed, F.col("pair")))
+    coin = H.digest_coin(H.digest(seed, F.col("pair"), purpose="coin"))
     lower_treated = coin == 0
     return pair_neighbours(panel, level, unit).select(
         unit, "pair",

@@ -15,16 +15,13 @@ from pyspark.sql import functions as F
 from tripledger.functions import hashing as H
 from tripledger.operators.ranking import row_numbers
 
-# Most Poisson(1) weight seen among 2**31 draws is below this.
-_MAX_WEIGHT = 12
-
-
 def poisson_thresholds() -> list[int]:
-    """Integer bounds on 0 … P that cut it into Poisson(1) weights 0, 1, 2, …"""
-    cdf, bounds = 0.0, []
-    for k in range(_MAX_WEIGHT):
+    """Integer bounds on 0 … P that cut it into Poisson(1) weights 0, 1, 2, … until nothing is left of it."""
+    cdf, bounds, k = 0.0, [], 0
+    while not bounds or bounds[-1] < H.P - 1:
         cdf += math.exp(-1) / math.factorial(k)
         bounds.append(math.floor(H.P * cdf))
+        k += 1
     return bounds
 
 
@@ -32,16 +29,19 @@ def poisson_weight(h: Column) -> Column:
     expr = None
     for k, bound in enumerate(poisson_thresholds()):
         expr = F.when(h < bound, k) if expr is None else expr.when(h < bound, k)
-    return expr.otherwise(_MAX_WEIGHT).cast("bigint")
+    return expr.otherwise(len(poisson_thresholds())).cast("bigint")
 
 
-def fan_out(df: DataFrame, iterations: int, name: str = "iteration") -> DataFrame:
+def fan_out(
+    df: DataFrame, iterations: int, name: str = "iteration", width: int | None = None,
+) -> DataFrame:
     """Every row once per iteration 0 … iterations-1, spread over the cluster first.
 
     The input is small and may sit in a partition or two; the work after the
-    fan-out is ``iterations`` times larger and should not.
+    fan-out is ``iterations`` times larger and should not. ``width`` is the number of
+    partitions, that of a shuffle unless given.
     """
-    width = df.sparkSession.sparkContext.defaultParallelism
+    width = width or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first, last = F.lit(0).cast("bigint"), F.lit(iterations - 1).cast("bigint")
     return df.repartition(width, *df.columns).withColumn(name, F.explode(F.sequence(first, last)))
 
@@ -49,24 +49,27 @@ def fan_out(df: DataFrame, iterations: int, name: str = "iteration") -> DataFram
 def fixed_subsample(
     df: DataFrame, key: str, group: str, labels: Sequence[object], m: int, seed: int,
 ) -> DataFrame:
-    """``m`` rows per group without replacement: those with the smallest digests.
+    """``m`` rows per group without replacement: those with the smallest picks.
 
     Digests are uniform, so a threshold read off the group size lets only slightly
     more than ``m`` rows through the scan; the window that makes the size exact
     sees just those. Adds ``dig``.
     """
-    rows = df.where(F.col(group).isin(*labels)).withColumn("dig", H.digest(seed, F.col(key)))
+    rows = df.where(F.col(group).isin(*labels)).withColumn(
+        "dig", H.digest(seed, F.col(key), purpose="pick"))
     sizes = df.agg(*[F.count_if(F.col(group) == g).alias(f"g{i}") for i, g in enumerate(labels)])
     packed = sizes.select(F.struct("*")).scalar()
+    # eight standard deviations and a margin: fewer than m pass once in 10**15 samples
     enough = m + 8.0 * math.sqrt(m) + 64.0
     size = F.lit(None).cast("bigint")
     for i, g in enumerate(labels):
         size = F.when(F.col(group) == g, F.col(f"_sizes.g{i}")).otherwise(size)
     passed = (
         rows.withColumn("_sizes", packed)
-        .where(H.digest_uniform(F.col("dig")) * size <= enough).drop("_sizes")
+        .where(H.digest_pick(F.col("dig")) * size <= enough).drop("_sizes")
     )
-    rank = F.row_number().over(Window.partitionBy(group).orderBy("dig", key))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(
+        H.digest_pick(F.col("dig")), "dig", key))
     return passed.withColumn("_rank", rank).where(F.col("_rank") <= m).drop("_rank")
 
 
@@ -81,26 +84,32 @@ def interval(df: DataFrame, value: str, alpha: float = 0.05) -> DataFrame:
 
 def bootstrap_diff(
     df: DataFrame, value: str, key: str, group: str, a: object, b: object,
-    m: int = 50_000, iterations: int = 2000, seed: int = 20250801, alpha: float = 0.05,
+    m: int | None = None, iterations: int = 2000, seed: int = 20250801, alpha: float = 0.05,
+    cells: int = 50_000,
 ) -> DataFrame:
-    """Interval of the mean difference by a Poisson bootstrap over a sub-sample.
+    """Interval of the mean difference by a Poisson bootstrap over all rows.
 
-    Each observation gets a Poisson(1) weight per iteration, which stands in for
-    drawing n of n with replacement and needs no join. Sums are integers, so the
-    replicates are the same however the rows were split.
+    Rows fall at random into ``cells`` cells per group, and a cell keeps its count and sum:
+    one aggregation, whatever the number of rows. Each cell gets a Poisson(1) weight
+    per iteration, and a replicate is the ratio of the weighted sums. Sums are whole
+    numbers, so replicates are the same however the rows were split.
+    Given ``m``, only a sub-sample of ``m`` rows per group is used.
     """
-    sample = fixed_subsample(df.select(key, group, value), key, group, (a, b), m, seed).select(
-        (F.col(group) == a).alias("is_a"),
-        F.floor(F.col(value) * 1e6 + 0.5).alias("ticks"),
-        H.slope(F.col("dig")).alias("sl"), H.offset(F.col("dig")).alias("of"),
-    )
+    rows = df.select(key, group, value).where(F.col(group).isin(a, b))
+    if m:
+        rows = fixed_subsample(rows, key, group, (a, b), m, seed).drop("dig")
+    cell = H.digest_cell(H.digest(seed, F.col(key), purpose="cell"), cells).alias("cell")
+    sums = rows.where(F.col(value).isNotNull()).groupBy((F.col(group) == a).alias("is_a"), cell).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.floor(F.col(value) * 1e6 + 0.5).cast("decimal(20,0)")).alias("ticks"))
+    dig = H.digest(seed, F.col("is_a"), F.col("cell"), purpose="weight")
+    keyed = sums.select("is_a", "n", "ticks", H.slope(dig).alias("sl"), H.offset(dig).alias("of"))
     w = poisson_weight(H.iteration_value(F.col("sl"), F.col("of"), F.col("iteration")))
-    drawn = fan_out(sample, iterations).select("iteration", "is_a", "ticks", w.alias("w"))
+    drawn = fan_out(keyed, iterations).select("iteration", "is_a", "n", "ticks", w.alias("w"))
 
     def mean(side: Column) -> Column:
-        return F.try_divide(
-            F.sum(F.when(side, F.col("w") * F.col("ticks"))).cast("double"),
-            F.sum(F.when(side, F.col("w"))).cast("double")) / 1e6
+        ticks = F.sum(F.when(side, F.col("w").cast("decimal(3,0)") * F.col("ticks")))
+        return F.try_divide(ticks.cast("double"), F.sum(F.when(side, F.col("w") * F.col("n"))).cast("double")) / 1e6
 
     replicates = drawn.groupBy("iteration").agg(
         (mean(F.col("is_a")) - mean(~F.col("is_a"))).alias("diff"))
@@ -116,10 +125,10 @@ def resampled_means(
     an iteration draws a number, and an equi-join on (arm, number) fetches the value.
     """
     known = units.where(F.col(value).isNotNull()).select(
-        unit, arm, value, H.digest(seed, F.col(unit)).alias("_d"))
+        unit, arm, value, H.digest(seed, F.col(unit), purpose="slot").alias("_d"))
     numbered = row_numbers(
         known, ["_d", unit], by=[arm], bucket=F.conv(F.substring("_d", 1, 2), 16, 10).cast("int"))
-    dig = H.digest(seed, F.col(arm), F.col("rn"))
+    dig = H.digest(seed, F.col(arm), F.col("rn"), purpose="draw")
     slots = numbered.select(
         F.col(arm).alias("_arm"), "total", H.slope(dig).alias("sl"), H.offset(dig).alias("of"))
     draws = fan_out(slots, iterations).select(
@@ -156,13 +165,15 @@ def bootstrap_unit_diff(
     return interval(means.select((F.col("mt") - F.col("mc")).alias("diff")), "diff", alpha)
 
 
-def permute(units: DataFrame, unit: str, iterations: int, seed: int) -> DataFrame:
-    """A random order of all units per iteration: ``rn`` of ``total``.
+def permute(
+    units: DataFrame, unit: str, iterations: int, seed: int, purpose: str = "split",
+) -> DataFrame:
+    """A random order of all units per iteration: ``rn`` of ``total``; another one for another purpose.
 
     The order key is uniform, so its leading part is a balanced bucket and no
     iteration is sorted in one task once it is large.
     """
-    dig = H.digest(seed, F.col(unit))
+    dig = H.digest(seed, F.col(unit), purpose=purpose)
     keyed = units.withColumns({"sl": H.slope(dig), "of": H.offset(dig)})
     h = H.iteration_value(F.col("sl"), F.col("of"), F.col("iteration"))
     ordered = fan_out(keyed, iterations).withColumn("_h", h).drop("sl", "of")

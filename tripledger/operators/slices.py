@@ -60,7 +60,11 @@ def _axis(df: DataFrame, name: str, first: int, last: int) -> DataFrame:
 
 
 def _dense(axis: DataFrame, values: DataFrame, keys: Sequence[str], fill: Sequence[str]) -> DataFrame:
-    return axis.join(values, list(keys), "left").fillna(0, list(fill))
+    """The axis with its values, zero where there are none; rows off the axis stay as they are."""
+    frame = axis.select(*keys).unionByName(values.select(*keys)).distinct()
+    own = values.select(*[F.col(k).alias(f"_{k}") for k in keys], *fill)
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return frame.join(own, same, "left").select(*keys, *fill).fillna(0, list(fill))
 
 
 def _n_if(cond: Column) -> Column:

@@ -88,7 +88,8 @@ class ExperimentPlan:
     seed: int = E.SEED
     iterations: int = 2000
     gap_iterations: int = 200
-    subsample: int = 50_000
+    subsample: int | None = None
+    planned_max: int | None = None
     max_did: float = 0.5
     max_worse: float = 0.05
 
@@ -114,7 +115,8 @@ def experiment_results(
 ) -> dict[str, DataFrame]:
     """Design checks and readout over stored unit tables; the trips are not read here."""
     fit = E.cuped_fit(panel)
-    power = E.power_summary(fit, alpha=plan.alpha, power=plan.power)
+    power = E.power_summary(
+        fit, alpha=plan.alpha, power=plan.power, planned_max=plan.planned_max)
     assigned = E.scenario_panel(panel, arms, fit)
     primary, unadjusted = E.readout(assigned, "y_adj"), E.readout(assigned, "y_scn")
     did = E.did(changes)
@@ -128,7 +130,8 @@ def experiment_results(
         "aa": E.aa_calibration(adjusted, "y_adj", plan.iterations, plan.alpha, plan.seed),
         "srm": srm,
         "randomisation_gap": E.randomisation_gap(
-            panel, "y_pre1", iterations=plan.gap_iterations, seed=plan.seed),
+            panel, "y_pre1", iterations=plan.gap_iterations, seed=plan.seed,
+            planned_max=plan.planned_max),
         "baseline_gap": E.baseline_gap(panel, arms),
         "primary": primary,
         "primary_bootstrap": R.bootstrap_ratio(

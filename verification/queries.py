@@ -340,6 +340,12 @@ def monthly_stack_sparse(spark, sf_dir):
     return S.monthly_stack(event_cube(spark, sf_dir), "member")
 
 
+@query
+def monthly_stack_short_axis(spark, sf_dir):
+    """Periods beyond the axis are kept."""
+    return S.monthly_stack(order_cube(spark, sf_dir), periods=6)
+
+
 @query
 def daily_split(spark, sf_dir):
     return S.daily_split(event_daily(spark, sf_dir), "casual")
@@ -486,6 +492,24 @@ def bootstrap_diff(spark, sf_dir):
         event_trips(spark, sf_dir), "value", "event_id", "rider_class", "member", "casual")
 
 
+@query
+def bootstrap_vs_welch(spark, sf_dir):
+    """Whether the spread of the replicates is the standard error of the difference, within a tenth."""
+    ev = event_trips(spark, sf_dir)
+    member_or_casual = ("value", "event_id", "rider_class", "member", "casual")
+    few = R.fixed_subsample(
+        ev.select("event_id", "rider_class", "value"), "event_id", "rider_class",
+        ("member", "casual"), 500, E.SEED)
+
+    def agrees(form, rows, m):
+        se = T.welch_t(rows, "value", "rider_class", "member", "casual", p=False).select("se").scalar()
+        ratio = F.col("boot_sd") / se
+        return R.bootstrap_diff(ev, *member_or_casual, m=m).select(
+            F.lit(form).alias("form"), (F.abs(ratio - 1) < 0.1).alias("agrees"))
+
+    return agrees("all rows", ev, None).unionByName(agrees("sub-sample", few, 500))
+
+
 def _weekend_hours(spark, sf_dir):
     return event_trips(spark, sf_dir).select(
         C.is_weekend(F.col("dow")).alias("weekend"), "hour")

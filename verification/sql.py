@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from tripledger.functions.hashing import P
-from tripledger.operators.resampling import poisson_thresholds
-from tripledger.spec import DURATION_EDGES, DURATION_LABELS
+# Stated here on their own, not taken from the code they check.
+P = 2147483647
+#: floor(P * P(X <= k)) for X ~ Poisson(1), k = 0, 1, …
+POISSON = (790015083, 1580030167, 1975037709, 2106706890, 2139624185, 2146207644, 2147304887, 2147461637, 2147481230, 2147483407, 2147483625, 2147483645, 2147483646)
+DURATION_EDGES = (5, 10, 15, 20, 30, 45, 60, 90, 120, 240)
+DURATION_LABELS = ("0-5", "5-10", "10-15", "15-20", "20-30", "30-45", "45-60", "60-90", "90-120", "120-240", "240+")
 
 SEED = 20250801
 ZA = NormalDist().inv_cdf(0.975)
@@ -78,8 +81,9 @@ def chi2_p(x: str, dof: int) -> str:
     return f"(CASE WHEN {x} IS NOT NULL THEN {p} END)"
 
 
-def digest(*keys: str, seed: int | str = SEED) -> str:
-    return f"md5(concat_ws('|', '{seed}', {', '.join(keys)}))"
+def digest(*keys: str, seed: int | str = SEED, purpose: str = "") -> str:
+    marked = ", ".join(f"coalesce(CAST({k} AS VARCHAR), '\\N')" for k in keys)
+    return f"md5(concat_ws('|', '{seed}{purpose}', {marked}))"
 
 
 def hex_int(text: str) -> str:
@@ -95,8 +99,8 @@ def offset(dig: str) -> str:
 
 
 def poisson(h: str) -> str:
-    whens = " ".join(f"WHEN {h} < {b} THEN {k}" for k, b in enumerate(poisson_thresholds()))
-    return f"(CASE {whens} ELSE {len(poisson_thresholds())} END)"
+    whens = " ".join(f"WHEN {h} < {b} THEN {k}" for k, b in enumerate(POISSON))
+    return f"(CASE {whens} ELSE {len(POISSON)} END)"
 
 
 def bucket_case(x: str, as_label: bool) -> str:
@@ -107,6 +111,15 @@ def bucket_case(x: str, as_label: bool) -> str:
     return f"(CASE WHEN {x} IS NULL THEN NULL {whens} ELSE {last} END)"
 
 
+def permuted(purpose: str) -> str:
+    dig = digest("unit", purpose=purpose)
+    return f"""
+        SELECT i AS iteration, unit, row_number() OVER (PARTITION BY i ORDER BY h, unit) AS rn,
+          count(*) OVER (PARTITION BY i) AS total
+        FROM (SELECT i, unit, ({slope(dig)} * (2 * i + 1) + {offset(dig)}) % {P}
+              AS h FROM panel, range(0, 2000) AS it(i))"""
+
+
 # --- common tables -------------------------------------------------------------------------
 
 DAY_TYPE = "CASE isodow({0}) WHEN 6 THEN 'saturday' WHEN 7 THEN 'sunday' ELSE 'weekday' END"
@@ -243,14 +256,14 @@ CTE = {
           n_per_arm, es * sd0 AS mde_abs, es * sd0 / mu0 AS mde_pct, theta, rho, resid_sd,
           es * resid_sd AS mde_abs_adj, es * resid_sd / mu0 AS mde_pct_adj
         FROM (SELECT *, {ZS!r} * sqrt(2 / (n_per_arm - {ZA * ZA / 4!r})) AS es FROM (
-          SELECT *, least(180, n_units // 2 - 5)::BIGINT AS n_per_arm FROM fit, resid))""",
+          SELECT *, CASE WHEN n_units >= 12 THEN n_units // 2 - 5 END::BIGINT AS n_per_arm FROM fit, resid))""",
     "adj": "SELECT unit, y_post - theta * (y_pre1 - mu0) AS y_adj FROM panel, fit",
     "ordered": """
         SELECT *, row_number() OVER (ORDER BY y_pre1, unit) AS rn, count(*) OVER () AS total
         FROM panel""",
     "arms": f"""
         SELECT unit, pair, CASE WHEN (rn % 2 = 1) =
-            ({hex_int(f"substr({digest('pair')}, 1, 1)")} % 2 = 0)
+            ({hex_int(f"substr({digest('pair', purpose='coin')}, 1, 1)")} % 2 = 0)
           THEN 'treat' ELSE 'control' END AS arm
         FROM (SELECT *, ((rn + 1) // 2)::BIGINT AS pair FROM ordered) WHERE pair * 2 <= total""",
     "scn": """
@@ -263,11 +276,8 @@ CTE = {
           SELECT origin AS unit, {mean("value", PRE1)} AS pre, {mean("value", POST)} AS post
           FROM ev GROUP BY origin) JOIN arms USING (unit)
         WHERE pre IS NOT NULL AND post IS NOT NULL""",
-    "perm": f"""
-        SELECT i AS iteration, unit, row_number() OVER (PARTITION BY i ORDER BY h, unit) AS rn,
-          count(*) OVER (PARTITION BY i) AS total
-        FROM (SELECT i, unit, ({slope(digest('unit'))} * (2 * i + 1) + {offset(digest('unit'))}) % {P}
-              AS h FROM panel, range(0, 2000) AS it(i))""",
+    "perm": permuted("split"),
+    "gap_perm": permuted("gap"),
     "rate": f"""
         SELECT arm, count(*) AS n_all, count(*) FILTER (WHERE destination IS NULL) AS n_event
         FROM ev JOIN arms ON origin = unit
@@ -282,7 +292,7 @@ NEEDS = {
     "od": ("oc", "st"), "okpi": ("oc", "odaily"), "days": ("ev",), "panel": ("days",),
     "fit": ("panel",), "resid": ("panel", "fit"), "pow": ("fit", "resid"), "adj": ("panel", "fit"),
     "ordered": ("panel",), "arms": ("ordered",), "scn": ("panel", "arms", "pow", "fit"),
-    "chg": ("ev", "arms"), "perm": ("panel",), "rate": ("ev", "arms"),
+    "chg": ("ev", "arms"), "perm": ("panel",), "gap_perm": ("panel",), "rate": ("ev", "arms"),
 }
 
 
@@ -351,10 +361,10 @@ def chi2_sql(tab: str, dof: int, *tables: str) -> str:
 
 def bootstrap_sql(metric_sql: str, value: str, agg: str, name: str, *tables: str) -> str:
     """n-of-n draws per arm with the keyed generator."""
-    dig = digest("arm", "rn")
+    dig = digest("arm", "rn", purpose="draw")
     local = {
         "src": metric_sql,
-        "num": f"SELECT *, row_number() OVER (PARTITION BY arm ORDER BY {digest('unit')}, unit) AS rn, "
+        "num": f"SELECT *, row_number() OVER (PARTITION BY arm ORDER BY {digest('unit', purpose='slot')}, unit) AS rn, "
                "count(*) OVER (PARTITION BY arm) AS total FROM src",
         "slots": f"SELECT arm, total, {slope(dig)} AS sl, {offset(dig)} AS os FROM num",
         "draws": f"SELECT arm, i, (sl * (2 * i + 1) + os) % {P} % total + 1 AS rn "
@@ -641,16 +651,19 @@ ORACLE: dict[str, str] = {
         ranked="""SELECT rider_class, count(*) OVER (PARTITION BY value) AS k,
           rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS mid FROM ev"""),
     "bootstrap_diff": sql(interval_body("reps", "v"), "ev",
-        sub=f"""SELECT * FROM (SELECT rider_class, CAST(floor(value * 1e6 + 0.5) AS BIGINT) AS x, dig,
-          row_number() OVER (PARTITION BY rider_class ORDER BY dig, event_id) AS k
-          FROM (SELECT *, {digest('event_id')} AS dig FROM ev)) WHERE k <= 50000""",
-        keyed=f"SELECT rider_class = 'member' AS a, x, {slope('dig')} AS sl, {offset('dig')} AS os FROM sub",
-        drawn=f"""SELECT i, a, sum(w) AS w, sum(w * x) AS wx FROM (
-          SELECT i, a, x, {poisson(f'((sl * (2 * i + 1) + os) % {P})')} AS w
+        cells=f"""SELECT rider_class = 'member' AS a, cell, count(*) AS n, sum(x) AS x FROM (
+          SELECT rider_class, CAST(floor(value * 1e6 + 0.5) AS BIGINT) AS x,
+            {hex_int(f"substr({digest('event_id', purpose='cell')}, 25, 8)")} % 50000 AS cell FROM ev) GROUP BY ALL""",
+        keyed=f"""SELECT a, n, x, {slope('dig')} AS sl, {offset('dig')} AS os FROM (
+          SELECT *, {digest('a', 'cell', purpose='weight')} AS dig FROM cells)""",
+        drawn=f"""SELECT i, a, sum(w * n) AS w, sum(w * x) AS wx FROM (
+          SELECT i, a, n, x, {poisson(f'((sl * (2 * i + 1) + os) % {P})')} AS w
           FROM keyed, range(0, 2000) AS it(i)) GROUP BY ALL""",
         reps="""SELECT i, (max(wx) FILTER (WHERE a))::DOUBLE / (max(w) FILTER (WHERE a))::DOUBLE / 1e6
           - (max(wx) FILTER (WHERE NOT a))::DOUBLE / (max(w) FILTER (WHERE NOT a))::DOUBLE / 1e6 AS v
           FROM drawn GROUP BY i"""),
+    # a property, not a recomputation: the bootstrap's spread is the standard error
+    "bootstrap_vs_welch": "SELECT unnest(['all rows', 'sub-sample']) AS form, true AS agrees",
     "chi2_hours": chi2_sql(WEEKEND_TAB, 23, "ev"),
     "hour_share": sql(f"""SELECT weekend, hour, n, {r('n / sum(n) OVER (PARTITION BY weekend)')} AS share
         FROM (SELECT weekend, hour, count(*) AS n FROM ({weekend_hours()}) GROUP BY ALL)""", "ev"),
@@ -698,9 +711,9 @@ ORACLE: dict[str, str] = {
         {r('max(abs(g))')} AS pure_random_max FROM (
         SELECT iteration, avg(y_pre1) FILTER (WHERE rn <= k)
           - avg(y_pre1) FILTER (WHERE rn > k AND rn <= 2 * k) AS g
-        FROM (SELECT iteration, rn, y_pre1, least(180, total // 2 - 5) AS k
-              FROM perm JOIN panel USING (unit) WHERE iteration < 200)
-        GROUP BY iteration)""", "perm", "panel"),
+        FROM (SELECT iteration, rn, y_pre1, CASE WHEN total >= 12 THEN total // 2 - 5 END AS k
+              FROM gap_perm JOIN panel USING (unit) WHERE iteration < 200)
+        GROUP BY iteration)""", "gap_perm", "panel"),
     "pair_neighbours": sql(f"""SELECT unit, {r('y_pre1')} AS y_pre1, ((rn + 1) // 2)::BIGINT AS pair,
         rn % 2 = 1 AS is_lower FROM ordered WHERE (rn + 1) // 2 * 2 <= total""", "ordered"),
     "block_randomise": sql("SELECT unit, pair, arm FROM arms", "arms"),
@@ -730,3 +743,6 @@ ORACLE: dict[str, str] = {
         AND (SELECT {chi2_p(f'({SRM_CHI2})', 1)} > 0.05 FROM srow) AS launch""",
         *DECISION_TABLES, "arms", **DECISION_LOCAL, srow=SRM_ROW),
 }
+
+# all twelve periods occur, so a shorter axis changes nothing
+ORACLE["monthly_stack_short_axis"] = ORACLE["monthly_stack"]
