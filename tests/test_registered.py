@@ -22,6 +22,32 @@ def test_query(spark, name):
     assert outcome == "ok" or (name not in ORACLE and outcome.startswith("rows only"))
 
 
+EXPERIMENT = sorted(
+    "select_pool pool_trips pool_panel panel_summary cuped cuped_adjusted power_table mde_curve aa_splits aa_calibration "
+    "randomisation_gap pair_neighbours block_randomise srm baseline_gap readout readout_unadjusted bootstrap_ratio did "
+    "bootstrap_did rate_guardrail guardrails decision_table launch_decision experiment_record experiment_decision_csv "
+    "bootstrap_diff bootstrap_vs_welch".split())
+
+
+@pytest.fixture(scope="module")
+def compiled(spark):
+    """The session with code generation on, as in production."""
+    names = ("spark.sql.codegen.wholeStage", "spark.sql.codegen.factoryMode")
+    before = [spark.conf.get(n) for n in names]
+    for n, v in zip(names, ("true", "FALLBACK")):
+        spark.conf.set(n, v)
+    yield spark
+    for n, v in zip(names, before):
+        spark.conf.set(n, v)
+
+
+@pytest.mark.parametrize("name", EXPERIMENT)
+def test_experiment_query_over_a_panel(compiled, name):
+    """At sf0.001 no unit reaches the pool; here 79 do."""
+    assert REGISTRY["panel_summary"](compiled, "/root/testdata/sf0.01").head()["pool_size"] == 79
+    assert compare(compiled, "/root/testdata/sf0.01", name) == "ok"
+
+
 def test_entry(spark):
     assert entry_point.entry(spark).count() == 168
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())

@@ -39,7 +39,7 @@ def with_duration(df: DataFrame, spec: TripSpec) -> DataFrame:
 
 def iso_dow(ts: Column) -> Column:
     """Monday 1 … Sunday 7."""
-    return ((F.dayofweek(ts) + 5) % 7 + 1).cast("int")
+    return (F.weekday(ts) + 1).cast("int")
 
 
 def is_weekend(dow: Column) -> Column:

@@ -160,10 +160,16 @@ def contingency(df: DataFrame, row: str, col: str) -> DataFrame:
     return df.groupBy(row, col).agg(F.count("*").alias("n"))
 
 
+def _with_margin(counts: DataFrame, key: str, *margins: Column) -> DataFrame:
+    """Aggregates per key beside every cell; no key's cells meet in one task."""
+    per_key = counts.groupBy(F.col(key).alias("_key")).agg(*margins)
+    return counts.join(per_key, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+
+
 def within_share(counts: DataFrame, row: str, n: str = "n") -> DataFrame:
     """Each cell's part of its row total."""
-    return counts.withColumn(
-        "share", F.col(n) / F.sum(n).over(Window.partitionBy(row)))
+    return _with_margin(counts, row, F.sum(n).alias("_total")).withColumn(
+        "share", F.col(n) / F.col("_total")).drop("_total")
 
 
 def chi2_from_counts(counts: DataFrame, row: str, col: str, p: bool = True) -> DataFrame:
@@ -174,13 +180,9 @@ def chi2_from_counts(counts: DataFrame, row: str, col: str, p: bool = True) -> D
     """
     n = F.col("n").cast("double")
     total = counts.agg(F.sum("n").cast("double")).scalar()
-    cells = counts.withColumns({
-        "_r": F.sum("n").over(Window.partitionBy(row)).cast("double"),
-        "_c": F.sum("n").over(Window.partitionBy(col)).cast("double"),
-        "_kr": F.count("*").over(Window.partitionBy(row)),
-        "_kc": F.count("*").over(Window.partitionBy(col)),
-        "_n": total,
-    }).withColumn("_e", F.col("_r") * F.col("_c") / F.col("_n"))
+    cells = _with_margin(counts, row, F.sum("n").cast("double").alias("_r"), F.count("*").alias("_kr"))
+    cells = _with_margin(cells, col, F.sum("n").cast("double").alias("_c"), F.count("*").alias("_kc"))
+    cells = cells.withColumn("_n", total).withColumn("_e", F.col("_r") * F.col("_c") / F.col("_n"))
     gap = F.abs(n - F.col("_e"))
     sums = cells.agg(
         F.max("_n").alias("n"), F.count("*").alias("k"),

@@ -24,12 +24,14 @@ def clean_stage(
     spark: SparkSession, raw_root: str, out: str, year: int, spec: TripSpec = TripSpec(),
     rules: CleanRules = CleanRules(),
 ) -> DataFrame:
-    """Landed CSV to partitioned Parquet, plus the quality record beside it.
+    """One year of landed CSV to partitioned Parquet, plus the quality record beside it.
 
-    Two passes over the raw files: one for the audit, one for the write.
+    Only the year's partitions are read and replaced; other years of the output stay. Two passes over the
+    raw files: one for the audit, one for the write.
     """
-    raw = landing.read_trips_csv(spark, raw_root)
-    tables.write_trips(cleaning.clean(raw, spec, rules), out, [spec.year, spec.period])
+    raw = landing.read_trips_csv(spark, raw_root).where(F.col(spec.year) == year)
+    tables.write_trips(
+        cleaning.clean(raw, spec, rules), out, [spec.year, spec.period], replace_touched_only=True)
     report = cleaning.quality_report(cleaning.quality_audit(raw, spec, rules), year, rules)
     tables.write_record(report, f"{out}/_quality.json")
     return spark.read.json(f"{out}/_quality.json")

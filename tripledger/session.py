@@ -45,11 +45,14 @@ def build_session(
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a local test) gets a fresh temporary
-    folder, which is then recorded so that later calls agree.
+    Only a local session without that setting (a test) gets a fresh temporary folder,
+    which is then recorded so that later calls agree. On a cluster, where such a folder would
+    differ from machine to machine, the setting is required.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tripledger-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")

@@ -59,7 +59,7 @@ def trips_from_orders(
     """One raw trip per order line, from order to shipment, in days.
 
     Keys repeat, durations can be negative and the class can be missing, so the
-    result needs cleaning. Stations are nations; machinery orders have no
+    result needs cleaning. A line without a partner stays and is counted by the audit. Stations are nations; machinery orders have no
     destination. Joins carry no hints: adaptive execution broadcasts the lookup
     tables while they are small and splits skewed shuffle partitions otherwise.
     """
@@ -69,10 +69,10 @@ def trips_from_orders(
 
     supply = supplier.select(
         "s_suppkey", F.col("s_nationkey").alias("supply_nation"), "s_acctbal",
-    ).join(nation_as("supply"), "supply_nation")
+    ).join(nation_as("supply"), "supply_nation", "left")
     demand = customer.select(
         "c_custkey", F.col("c_nationkey").alias("demand_nation"), "c_acctbal", "c_mktsegment",
-    ).join(nation_as("demand"), "demand_nation")
+    ).join(nation_as("demand"), "demand_nation", "left")
 
     days = F.datediff("l_shipdate", "o_orderdate").cast("double")
     has_end = F.col("c_mktsegment") != "MACHINERY"
@@ -81,9 +81,9 @@ def trips_from_orders(
         lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_linestatus", "l_shipdate")
         .join(
             orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"),
-            F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(supply, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(demand, F.col("o_custkey") == F.col("c_custkey"))
+            F.col("l_orderkey") == F.col("o_orderkey"), "left")
+        .join(supply, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+        .join(demand, F.col("o_custkey") == F.col("c_custkey"), "left")
         .select(
             F.concat_ws("-", "l_orderkey", "l_linenumber").alias("trip_key"),
             F.when(F.col("l_linestatus") == "O", "electric_bike")

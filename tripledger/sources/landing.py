@@ -38,7 +38,8 @@ def landing_audit(spark: SparkSession, root: str, expected: Sequence[str] | None
     """Per landed file: rows without the header, expected columns that are missing, verdict.
 
     The header is the first line of a file's first block, so files may be split
-    over tasks. Physical lines are counted.
+    over tasks. Physical lines are counted, without their text; of the first blocks
+    only positions are aggregated, and the text of one line per file is joined to them.
     """
     expected = list(expected or RAW_TRIP_SCHEMA.fieldNames())
     lines = (
@@ -49,10 +50,10 @@ def landing_audit(spark: SparkSession, root: str, expected: Sequence[str] | None
             .alias("pos"),
             "value")
     )
-    per_file = lines.groupBy("file").agg(
-        (F.count("*") - 1).alias("n_rows"), F.min_by("value", "pos").alias("header"))
+    counted = lines.groupBy("file").agg((F.count("*") - 1).alias("n_rows"), F.min("pos").alias("pos"))
+    headers = lines.where(F.col("pos").isNotNull()).select("file", "pos", F.col("value").alias("header"))
     wanted = F.array(*[F.lit(c) for c in expected])
-    return per_file.select(
+    return counted.join(headers, ["file", "pos"]).select(
         "file", "n_rows",
         F.array_sort(F.array_except(wanted, _header_fields(F.col("header")))).alias("missing"),
     ).withColumn("ok", F.size("missing") == 0)

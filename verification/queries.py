@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from tripledger.operators import cleaning, experiment as E, metrics as M, rankin
 from tripledger.operators import resampling as R
 from tripledger.operators import slices as S
 from tripledger.operators import statistics as T
+from tripledger.plans import stages
 from tripledger.session import shared_folder
 from tripledger.sources import landing, tables
 from tripledger.sources.adapters import EVENT_SPEC, ORDER_SPEC, event_trips, raw_order_trips
@@ -67,6 +70,11 @@ def stored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_trips(spark, path)
 
 
+def _fresh(spark: SparkSession, name: str) -> str:
+    """A folder of this call alone: what an earlier call returned is still read from its own."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def event_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.fact_cube(event_trips(spark, sf_dir), EVENT_SPEC)
 
@@ -141,7 +149,7 @@ def audit_classes(spark, sf_dir):
 @query
 def quality_report(spark, sf_dir):
     audit = cleaning.quality_audit(raw_order_trips(spark, sf_dir), ORDER_SPEC)
-    return cleaning.quality_report(audit, 2024).drop("rules")
+    return cleaning.quality_report(audit, 2024).select("*", "rules.*").drop("rules")
 
 
 @query
@@ -190,6 +198,41 @@ def landing_audit(spark, sf_dir):
         F.max(F.size("missing")).alias("max_missing"))
 
 
+@query
+def landing_audit_periods(spark, sf_dir):
+    """Verdicts of the single files, by the period of their folder."""
+    files = landing.landing_audit(spark, landed_events(spark, sf_dir))
+    return files.groupBy(F.regexp_extract("file", r"month=(\d+)", 1).cast("int").alias("month")).agg(
+        F.sum("n_rows").alias("n_rows"), F.sum(F.size("missing")).alias("n_missing"),
+        F.bool_and("ok").alias("all_ok"))
+
+
+@query
+def clean_stage_report(spark, sf_dir):
+    """The record that the clean stage leaves beside its output."""
+    report = stages.clean_stage(spark, landed_events(spark, sf_dir), _fresh(spark, "clean_stage"), 2024)
+    return report.select("*", "rules.*").drop("rules")
+
+
+@query
+def metric_stage_tables(spark, sf_dir):
+    """Row counts of the tables that the metric stage writes."""
+    root = _fresh(spark, "metric_stage")
+    stages.metric_stage(stored_orders(spark, sf_dir), root, ORDER_SPEC, min_n=OD_MIN)
+    counts = [tables.read_metric(spark, root, name).agg(F.lit(name).alias("name"), F.count("*").alias("n_rows"))
+              for name in ("cube", "daily", "kpi", "monthly", "stations", "od")]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@query
+def read_fallback(spark, sf_dir):
+    """Trips that have not been built are read from the fallback."""
+    stored_orders(spark, sf_dir)
+    trips = tables.read_trips(
+        spark, _fresh(spark, "nothing_here"), fallback=_scratch(spark, sf_dir, "clean_orders"))
+    return trips.select("trip_key", "month", "days_open")
+
+
 @query
 def landed_clean(spark, sf_dir):
     """CSV scan, parsing, whole-second durations and cleaning in one."""
@@ -209,11 +252,18 @@ def partition_filtered_read(spark, sf_dir):
 @query
 def metric_round_trip(spark, sf_dir):
     """The cube written as Parquet, JSON and CSV and read back from JSON."""
-    root = _scratch(spark, sf_dir, "metrics")
+    root = _fresh(spark, "metrics")
     tables.write_metric(event_cube(spark, sf_dir), root, "cube")
     return tables.read_metric(spark, root, "cube", "json")
 
 
+@query
+def metric_round_trip_csv(spark, sf_dir):
+    root = _fresh(spark, "metrics_csv")
+    tables.write_metric(event_cube(spark, sf_dir), root, "cube", ["csv"])
+    return tables.read_metric(spark, root, "cube", "csv")
+
+
 @query
 def sample_trips(spark, sf_dir):
     picked = tables.sample_trips(
@@ -698,3 +748,66 @@ def decision_table(spark, sf_dir):
 @query
 def launch_decision(spark, sf_dir):
     return E.launch_decision(E.srm(event_arms(spark, sf_dir)), _decision(spark, sf_dir))
+
+
+def _experiment(spark, sf_dir):
+    """Folder with the record and the decision table of the experiment stage."""
+    root = _fresh(spark, "experiment")
+    plan = stages.ExperimentPlan(PRE1, PRE2, POST, min_n=POOL_MIN, iterations=200, gap_iterations=50)
+    stages.experiment_stage(event_trips(spark, sf_dir), root, plan, EVENT_SPEC, unit="origin")
+    return root
+
+
+@query
+def experiment_record(spark, sf_dir):
+    doc = spark.read.json(f"{_experiment(spark, sf_dir)}/ab_tests.json")
+    return doc.select(
+        "data_scope.n_rides", "ab_design.srm.n_treat", "ab_design.srm.n_control",
+        "data_scope.window_first", "data_scope.pool_min_starts")
+
+
+@query
+def experiment_decision_csv(spark, sf_dir):
+    """The decision table as the experiment stage writes it, read back from CSV."""
+    like = _decision(spark, sf_dir)
+    return spark.read.schema(like.schema).option("header", True).csv(f"{_experiment(spark, sf_dir)}/ab_decision.csv")
+
+
+# --- bounds of the approximate forms --------------------------------------------------------------
+
+@query
+def approx_medians_within(spark, sf_dir):
+    """Whether the rank of sketched medians is off by a thousandth of the rows and one at most; null month: overall."""
+    trips = stored_orders(spark, sf_dir)
+    value, n = F.col(ORDER_SPEC.duration), F.count("*")
+    # tables keep one decimal
+    below, upto = F.count_if(value < F.col("p50_min") - 0.05), F.count_if(value <= F.col("p50_min") + 0.05)
+    within = ((below <= 0.501 * n + 1) & (upto >= 0.499 * n - 1)).alias("within")
+    medians = M.period_summary(trips, ORDER_SPEC, median="approx").select("month", "p50_min")
+    by_month = trips.join(medians, "month").groupBy("month").agg(within)
+    whole = M.kpi(trips, ORDER_SPEC, median="approx").select("p50_min").scalar()
+    overall = trips.withColumn("p50_min", whole).agg(within).select(F.lit(None).cast("int").alias("month"), "within")
+    return by_month.unionByName(overall)
+
+
+@query
+def approx_distinct_within(spark, sf_dir):
+    """Whether the sketched count is within three relative standard deviations (0.05) of the exact one."""
+    raw = raw_order_trips(spark, sf_dir)
+    exact = cleaning.distinct_count(raw, ORDER_SPEC.trip_id).scalar()
+    sketch = cleaning.distinct_count(raw, ORDER_SPEC.trip_id, True)
+    return sketch.select((F.abs(F.col("n_distinct") / exact - 1) < 0.15).alias("within"))
+
+
+@query
+def sample_native_within(spark, sf_dir):
+    """Sampled rows that are not rows of the two periods, and whether their number is within five deviations."""
+    trips = stored_orders(spark, sf_dir)
+    source = tables.of_periods(trips, ORDER_SPEC, [1, 7])
+    n = source.agg(F.count("*")).scalar()
+    picked = tables.sample_trips(trips, ORDER_SPEC, [1, 7], 0.1, 42).select("trip_key")
+    inside = source.select(F.col("trip_key").alias("key"))
+    counts = picked.join(inside, F.col("trip_key") == F.col("key"), "left").agg(
+        F.count("*").alias("n"), F.count_if(F.col("key").isNull()).alias("n_outside"))
+    return counts.select(
+        "n_outside", (F.abs(F.col("n") - 0.1 * n) <= 5 * F.sqrt(0.09 * n)).alias("size_within"))

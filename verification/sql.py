@@ -153,9 +153,9 @@ CTE = {
           CASE WHEN c_mktsegment <> 'MACHINERY' THEN cn.n_name END AS demand_name,
           CASE WHEN c_mktsegment <> 'MACHINERY' THEN s_acctbal END AS demand_y,
           CASE WHEN c_mktsegment <> 'MACHINERY' THEN c_acctbal END AS demand_x
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-        JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey
-        JOIN customer ON o_custkey = c_custkey JOIN nation cn ON c_nationkey = cn.n_nationkey""",
+        FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey
+        LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation sn ON s_nationkey = sn.n_nationkey
+        LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation cn ON c_nationkey = cn.n_nationkey""",
     "classed": """
         SELECT *, CASE WHEN ordered_ts IS NULL OR shipped_ts IS NULL THEN 'bad_time'
           WHEN days_open IS NULL OR days_open <= 0 OR days_open > 1440 THEN 'bad_duration'
@@ -316,6 +316,10 @@ def weekend_hours() -> str:
     return "SELECT dow >= 6 AS weekend, hour FROM ev"
 
 
+RULES = ("'(0, 1440] minutes' AS duration, 'one row kept per trip id' AS dup, "
+         "'missing stations and coordinates are kept as null' AS null_station_keep")
+
+
 # --- tests ---------------------------------------------------------------------------------------
 
 def welch_sql(source: str, value: str, group: str, a: str, b: str, extra: str = "",
@@ -493,7 +497,7 @@ ORACLE: dict[str, str] = {
     "quality_report": sql(f"""SELECT 2024::BIGINT AS year, n_raw, n_distinct_ride_id, dropped_bad_time,
         dropped_bad_duration, dropped_bad_enum, n_raw - n_distinct_ride_id AS n_duplicate_rides,
         n_good - n_clean AS n_removed_as_duplicate, n_clean,
-        {pct('n_raw - n_clean', 'n_raw', 100, 3)} AS drop_rate_pct FROM (
+        {pct('n_raw - n_clean', 'n_raw', 100, 3)} AS drop_rate_pct, {RULES} FROM (
         SELECT count(*) AS n_raw, count(DISTINCT trip_key) AS n_distinct_ride_id,
           {cnt("cls = 'bad_time'")} AS dropped_bad_time,
           {cnt("cls = 'bad_duration'")} AS dropped_bad_duration,
@@ -746,3 +750,31 @@ ORACLE: dict[str, str] = {
 
 # all twelve periods occur, so a shorter axis changes nothing
 ORACLE["monthly_stack_short_axis"] = ORACLE["monthly_stack"]
+
+STAGED = "event_id % 97 <> 0 AND floor(value) > 0 AND floor(value) <= 1440"
+ORACLE |= {
+    "landing_audit_periods": sql("""SELECT period AS month, count(*) AS n_rows, 0::BIGINT AS n_missing,
+        true AS all_ok FROM ev GROUP BY period""", "ev"),
+    "metric_round_trip_csv": sql("SELECT * FROM cube", "cube"),
+    "read_fallback": sql("SELECT trip_key, month, days_open FROM oc", "oc"),
+    "clean_stage_report": f"""SELECT 2024::BIGINT AS year, n_raw, n_distinct_ride_id, dropped_bad_time,
+        dropped_bad_duration, 0::BIGINT AS dropped_bad_enum, n_raw - n_distinct_ride_id AS n_duplicate_rides,
+        n_good - n_clean AS n_removed_as_duplicate, n_clean,
+        {pct('n_raw - n_clean', 'n_raw', 100, 3)} AS drop_rate_pct, {RULES} FROM (
+        SELECT count(*) AS n_raw, count(DISTINCT event_id) AS n_distinct_ride_id,
+          {cnt('event_id % 97 = 0')} AS dropped_bad_time,
+          {cnt('event_id % 97 <> 0 AND (floor(value) <= 0 OR floor(value) > 1440)')} AS dropped_bad_duration,
+          {cnt(STAGED)} AS n_good, count(DISTINCT event_id) FILTER (WHERE {STAGED}) AS n_clean FROM events)""",
+    "metric_stage_tables": sql("""SELECT 'cube' AS name, count(*) AS n_rows FROM ocube
+        UNION ALL SELECT 'daily', count(*) FROM odaily UNION ALL SELECT 'kpi', 1
+        UNION ALL SELECT 'monthly', count(DISTINCT month) FROM oc
+        UNION ALL SELECT 'stations', count(*) FROM st UNION ALL SELECT 'od', count(*) FROM od""",
+        "ocube", "odaily", "oc", "st", "od"),
+    "experiment_record": sql("""SELECT (SELECT count(*) FROM ev) AS n_rides, n_treat, n_control,
+        '2024-01-21' AS window_first, 30::BIGINT AS pool_min_starts FROM srow""", "ev", "arms", srow=SRM_ROW),
+    "experiment_decision_csv": ORACLE["decision_table"],
+    "approx_medians_within": sql("""SELECT DISTINCT month, true AS within FROM oc
+        UNION ALL SELECT NULL, true""", "oc"),
+    "approx_distinct_within": "SELECT true AS within",
+    "sample_native_within": "SELECT 0::BIGINT AS n_outside, true AS size_within",
+}
