@@ -78,6 +78,14 @@ def test_many_copies_in_a_hot_group(spark):
     assert sum(r["n_removed"] > 0 for r in got) == 59
 
 
+def test_one_row_repeated_without_an_id(spark):
+    text = " ".join(f"d{i}" for i in range(80))
+    rows = [(None, text)] * 40 + [(1, text + " end")]
+    got = bytes_.suffix_dedup(frame(spark, rows), Shape(24, 4, 9)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect()
+    assert by_row((*r[:4], bytes(r[4])) for r in got) == by_row(brute_bytes(rows, 24))
+    assert by_row(words_.substring_dedup(frame(spark, rows)).collect()) == by_row(brute_words(rows, 50))
+
+
 def test_empty_table(spark):
     empty = frame(spark, [])
     assert words_.substring_dedup(empty).count() == 0

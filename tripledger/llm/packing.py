@@ -6,7 +6,7 @@ text). A bin carries one bitmap of its sources and one of its clusters, and bins
 residual room. An item, longest first, looks up the first bin with enough room and goes on to the next larger one until one
 has neither bit set: the tightest compatible bin. If none is left it opens a new bin.
 
-Documents are dealt to groups of about ``GROUP_BINS`` bins by a hash of the doc_id, so a hot source or cluster is spread
+Documents are dealt to groups of about ``GROUP_BINS`` bins or ``GROUP_ITEMS`` pieces by a hash of the doc_id, so a hot source or cluster is spread
 over all groups, and each group is packed on its own; only lengths and digests are shuffled, never texts.
 
 Defined cases: a null text is empty and has length one; a null source conflicts with nothing; equal rows are items of
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tripledger.llm.frames import read_table, texts
 
-CAPACITY, GROUP_BINS = 8_192, 1_024
+CAPACITY, GROUP_BINS, GROUP_ITEMS = 8_192, 1_024, 10_000
 _OUT = "doc_id long, piece int, bin_id long, position int, start int, length int, room int"
 
 
@@ -98,8 +98,8 @@ def pieces(docs: DataFrame, capacity: int) -> DataFrame:
 def pack(docs: DataFrame, capacity: int = CAPACITY, group_bins: int = GROUP_BINS) -> DataFrame:
     """doc_id, piece, bin_id, position and start in the bin, length, room left in the bin; a row for each piece."""
     items = pieces(docs, capacity)
-    total = docs.agg(F.sum(F.octet_length(texts(docs)) + 1)).head()[0] or 0
-    groups = max(1, -(-total // (capacity * group_bins)))
+    total, count = items.agg(F.sum("length"), F.count("*")).head()
+    groups = max(1, -(-(total or 0) // (capacity * group_bins)), -(-count // GROUP_ITEMS))
     group = F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(groups)).alias("g")
     return items.select("*", group).groupBy("g").applyInArrow(_pack(capacity), _OUT)
 

@@ -8,7 +8,8 @@
    windows, which are counted by name.
 
 No step holds a group in memory: groups are counted by aggregation, and joins meet one counted row per key on
-one side, so that a hot key can be split on the other. Whole texts move once, compressed; only documents
+one side, so that a hot key can be split on the other. What belongs to one row is gathered as a set, so repeats of
+the row do not lengthen it. Whole texts move once, compressed; only documents
 with opened stretches move again.
 """
 
@@ -179,7 +180,7 @@ def repeated_windows(
         met = branching.where("k > 1 AND key = klo").withColumn("state", F.lit(1))
         branching = branching.unionByName(met)
     parts = straight.withColumn("state", F.lit(0)).select(*where, "state").unionByName(branching.select(*where, "state"))
-    parts = parts.groupBy("key", "tie").agg(F.collect_list(F.struct("first", "count", "state", "core")).alias("parts"))
+    parts = parts.groupBy("key", "tie").agg(F.collect_set(F.struct("first", "count", "state", "core")).alias("parts"))
     own = "doc_id long, key long, tie int"
     once = stored(
         packed_texts(rows).join(parts, ["key", "tie"], "left").mapInArrow(
@@ -196,7 +197,7 @@ def repeated_windows(
     found = windows.where("own").join(names, ["name", "side"])
     if earlier:
         found = found.where("seen < doc")
-    found = found.groupBy("key", "tie").agg(F.collect_list("pos").alias("found"))
+    found = found.groupBy("key", "tie").agg(F.collect_set("pos").alias("found"))
     rest = waiting.drop("names").join(found, ["key", "tie"], "left").mapInArrow(
         _last_pass(finish, schema), f"{ddl}, {own}")
     return once.where("packed IS NULL").select(*rest.columns).unionByName(rest)

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from tripledger.llm.frames import by_batch, read_table, stored, texts
 
 ANTECEDENTS, CHAIN, THRESHOLD = 48, 2, 0.8
-#: Rows handed on by one task of the count, and documents of one range.
 _WORDS = re.compile(r"[^\W_]+")
+#: Documents of one range, as long as that gives no more ranges than a shuffle has partitions.
 RANGE_ROWS = 4_096
 
 
@@ -123,7 +123,9 @@ def in_ranges(docs: DataFrame) -> DataFrame:
     rows = rows.select("*", F.xxhash64("text").alias("tie"))
     order = [F.desc_nulls_last("doc_id"), F.asc("tie")]
     keys = stored(rows.select("doc_id", "tie"), "order")
-    ranges = max(1, -(-keys.count() // RANGE_ROWS))
+    # rows of a range pass through a task one by one, so ranges need not be small: a few bounds are enough at any size
+    most = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, min(most, -(-keys.count() // RANGE_ROWS)))
     placed = stored(keys.repartitionByRange(ranges, *order).select("*", F.spark_partition_id().alias("p")), "ranges")
     # one row per range: its first key
     first = placed.groupBy("p").agg(F.min(F.struct((-F.col("doc_id")).isNull().alias("void"), (-F.col("doc_id")).alias("down"), "tie")).alias("k"))
