@@ -44,10 +44,11 @@ def test_op2(spark, rows):
     assert by_row(REGISTRY["op2_simhash"](spark, SMALL).collect()) == by_row(want)
 
 
-def test_op7(spark):
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
-    assert by_row(REGISTRY["op7_exact_dedup"](spark, SMALL).collect()) == by_row(con.execute(ORACLE["op7_exact_dedup"]).fetchall())
+    assert by_row(REGISTRY[name](spark, SMALL).collect()) == by_row(con.execute(ORACLE[name]).fetchall())
 
 
 def test_whole_tables(spark, rows):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tripledger.llm import exact_dedup
+from tripledger.llm import exact_dedup, substring_dedup, suffix_dedup
 from tripledger.llm.exact_dedup import op7_exact_dedup
 from tripledger.llm.packing import op4_packing
 from tripledger.llm.quality import op6_quality
@@ -34,5 +34,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_substring_dedup": substring_dedup.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op10_suffix_dedup": suffix_dedup.ORACLE,
 }

@@ -56,3 +56,19 @@ def substring_dedup(docs: DataFrame, shape: Shape = SHAPE) -> DataFrame:
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _result(read_table(spark, sf_dir, "documents"), SHAPE, "kept_sha256",
                    lambda kept: hashlib.sha256(kept).hexdigest())
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS h FROM (
+  SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w WHERE len(words) >= 50)),
+lo AS (SELECT h, min(doc_id) AS first FROM p GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, i + k AS j FROM p JOIN lo USING (h), range(0, 50) AS r(k) WHERE first < doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+kept AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.j) AS kept FROM (
+    SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS j FROM w) u
+  ANTI JOIN gone g ON u.doc_id = g.doc_id AND u.j = g.j GROUP BY u.doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -74,3 +74,24 @@ def suffix_stage(docs: DataFrame) -> DataFrame:
     rest = rest.drop("text", "n_chars").join(kept.dropDuplicates(["_k", "_t"]), ["_k", "_t"])
     rest = rest.withColumn("text", F.when(~F.col("_void"), F.col("_kept")))
     return rest.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT doc_id, x, length(x) // 2 AS n FROM d),
+p AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 800)) AS h FROM (
+  SELECT doc_id, x, unnest(range(0, n - 399)) AS i FROM s WHERE n >= 400)),
+twice AS (SELECT h FROM p GROUP BY h HAVING count(*) > 1),
+hits AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM p SEMI JOIN twice USING (h)),
+islands AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM (
+    SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 400 THEN 1 ELSE 0 END)
+      OVER (PARTITION BY doc_id ORDER BY i) AS k FROM hits) GROUP BY doc_id, k),
+cuts AS (SELECT doc_id, coalesce(lag(b) OVER w, 0) AS a, a AS b FROM islands WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+  UNION ALL SELECT doc_id, max(b), NULL FROM islands GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * a + 1, 2 * (coalesce(b, n) - a)), '' ORDER BY a) AS kept
+  FROM cuts JOIN s USING (doc_id) GROUP BY doc_id),
+lost AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM islands GROUP BY doc_id)
+SELECT s.doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM s LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
