@@ -3,13 +3,14 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import by_row, corpus, frame
 from tripledger.llm import sentencepiece_ids as sp, token_files as tf
 
 ODD = ["", " ", "  ", "a  b", " a", "a ", "a\n b", "▁a ▁", "a\tb  \n", "x " * 5, "é ﬁ 　 b", "a  b", "\n", "  a   b  ",
-       "'s 't a's", "<|endoftext|> a <|endoftext|>b", "a\x1c b \x1c", "日本 語", "a\x00b", "A" * 5000, "word " * 4000]
+       "'s 't a's", "<|endoftext|> a <|endoftext|>b", "a\x1c b \x1c", "日本 語", "a\x00b", "\x01a b", "a \x01b", "a\u3000 b", "a \u2003b", "a\x85 b", "x\n\n y", "A" * 5000, "word " * 4000]
 
 
 def library_ids(texts):
@@ -35,10 +36,10 @@ def test_chunk_table_starts_anew(monkeypatch):
 
     monkeypatch.setattr(chunks, "KEPT", 3)
     monkeypatch.setattr(chunks, "SLICE", 10)
-    table = chunks.ChunkTable(str.split, lambda new: [[len(c)] * 2 for c in new])
-    texts = ["a bb ccc", "", "dddd a", "bb bb", "ccc eeeee a"]
-    got = [ids[x:y].tolist() for _, _, ids, ends in table.slices(texts) for x, y in zip(ends, ends[1:])]
-    assert got == [[len(w) for w in t.split() for _ in "12"] for t in texts]
+    table = chunks.ChunkTable("^$|  ", "", str.split, lambda new: [np.array([len(c)] * 2, "<u4").tobytes() for c in new])
+    texts = ["a bb ccc", "", "dddd a", "bb bb", "ccc  eeeee a", "a", "x  y", "zz"]
+    got = {int(r): ids[x:y].tolist() for rows, ids, ends in table.slices(pa.array(texts)) for r, x, y in zip(rows, ends, ends[1:])}
+    assert [got[r] for r in range(len(texts))] == [[len(w) for w in t.split() for _ in "12"] for t in texts]
 
 
 def test_token_files(spark, tmp_path):
@@ -75,5 +76,4 @@ def test_shared_dictionary_and_shards(spark, tmp_path, monkeypatch):
     assert tf.read_document(spark, folder, 123) == [library_ids([rows[123][1]])[0]]
     bad = spark.read.parquet(f"{folder}/shards").limit(1).toArrow().to_pylist()[0] | {"dictionary": "other"}
     with pytest.raises(ValueError):
-        import pyarrow as pa
         list(tf._read(b"", "this")([pa.RecordBatch.from_pylist([bad])]))

@@ -14,6 +14,7 @@ import hashlib
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,8 @@ from tripledger.llm.frames import read_table, texts
 MODEL = "piece_bpe_32k.model"
 _MARK = "▁"
 _CHUNK = re.compile(f"[ {_MARK}]+[^ {_MARK}]*")
+#: Texts that blanks alone do not cut into chunks.
+_ODD = f"^$|^ | $|  |{_MARK}"
 
 
 def model_path(name: str = MODEL) -> str:
@@ -33,11 +36,7 @@ def model_path(name: str = MODEL) -> str:
 
 def cut(text: str) -> list[str]:
     """Chunks of a text without the first marker of each: the library puts that one back."""
-    if not text:
-        return []
-    if _MARK in text or "  " in text or text[0] == " " or text[-1] == " ":
-        return [c[1:] for c in _CHUNK.findall(" " + text)]
-    return text.split(" ")
+    return [c[1:] for c in _CHUNK.findall(" " + text)] if text else []
 
 
 @lru_cache(maxsize=2)
@@ -50,20 +49,19 @@ def _loaded(path: str):
         raise ValueError("pieces of this model cross whitespace markers")
     alone = model.encode("a ")[len(model.encode("a")):]  # a marker without a word
 
-    def encode(chunks: list[str]) -> list[list[int]]:
-        return [ids or alone for ids in model.encode(chunks, num_threads=1)]
+    def encode(chunks: list[str]) -> list[bytes]:
+        return [np.array(ids or alone, "<u4").tobytes() for ids in model.encode(chunks, num_threads=1)]
 
-    return model, ChunkTable(cut, encode), pa.array([f"{i}," for i in range(size)], pa.large_string())
+    return model, ChunkTable(_ODD, "", cut, encode), pa.array([f"{i}," for i in range(size)], pa.large_string())
 
 
 def _encoded(path: str):
     def run(batches):
         _, table, _ = _loaded(path)
         for batch in batches:
-            doc_id, rows = batch.column("doc_id"), batch.column("text").to_pylist()
-            for a, b, ids, ends in table.slices(rows):
+            for rows, ids, ends in table.slices(batch.column("text")):
                 yield pa.RecordBatch.from_arrays(
-                    [doc_id.slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends.astype("int32")), pa.array(ids.astype("int32")))],
+                    [batch.column("doc_id").take(pa.array(rows)), pa.ListArray.from_arrays(pa.array(ends.astype("int32")), pa.array(ids.astype("int32")))],
                     ["doc_id", "ids"])
     return run
 
@@ -72,8 +70,7 @@ def _digests(path: str):
     def run(batches):
         model, table, names = _loaded(path)
         for batch in batches:
-            doc_id, rows = batch.column("doc_id"), batch.column("text").to_pylist()
-            for a, b, ids, ends in table.slices(rows):
+            for rows, ids, ends in table.slices(batch.column("text")):
                 decimals = names.take(pa.array(ids))
                 at = memoryview(decimals.buffers()[1]).cast("q")
                 data = memoryview(decimals.buffers()[2] or b"")
@@ -83,7 +80,7 @@ def _digests(path: str):
                     decoded.append(hashlib.sha256(model.decode(ids[x:y].tolist()).encode()).hexdigest() if y > x
                                    else hashlib.sha256(b"").hexdigest())
                 yield pa.RecordBatch.from_arrays(
-                    [doc_id.slice(a, b - a), pa.array(ends[1:] - ends[:-1]), pa.array(joined), pa.array(decoded)],
+                    [batch.column("doc_id").take(pa.array(rows)), pa.array(ends[1:] - ends[:-1]), pa.array(joined), pa.array(decoded)],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
     return run
 

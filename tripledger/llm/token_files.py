@@ -33,10 +33,15 @@ from tripledger.llm.frames import by_batch, fresh_folder, read_table, stored, te
 
 TOKENIZER, END = "byte_bpe_50k.json", 2
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 2_000, 8_192, 65_536, 3
+#: Distinct pieces in one call of the tokenizer.
+RUN = 100
 SHARD_BYTES, SHARD_DOCUMENTS = 4 << 20, 20_000
 
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
-_UNSAFE = re.compile(r"^ |\s | \s| $")
+#: A chunk with this mark is taken as it stands; any other stands behind a blank.
+_AS_IS = "\x01"
+_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ODD = f"^ | $|{_WHITE} | {_WHITE}|{_AS_IS}"
 _SHARD = ("part int, seq int, dictionary string, width int, tokens long, doc_ids array<long>, "
           "offsets array<long>, counts array<long>, frames binary")
 
@@ -49,10 +54,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 def cut(text: str) -> list[str]:
     """Pieces of a text cut before each single blank between two other characters, where a word always starts."""
-    if _UNSAFE.search(text):
-        return _SAFE.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + w for w in rest]]
+    return [_AS_IS + piece for piece in _SAFE.split(text)]
 
 
 @lru_cache(maxsize=2)
@@ -62,21 +64,35 @@ def _loaded(path: str) -> tuple[ChunkTable, int]:
 
     model = Tokenizer.from_file(path)
 
-    def encode(chunks: list[str]) -> list[list[int]]:
-        return [e.ids for e in model.encode_batch_fast(chunks, add_special_tokens=False)]
+    # a special token stands alone whatever its neighbours, so it can hold pieces apart within one call
+    apart = [(i, t.content) for i, t in model.get_added_tokens_decoder().items()
+             if t.special and not (t.lstrip or t.rstrip or t.single_word)][:1]
 
-    return ChunkTable(cut, encode), 2 if model.get_vocab_size() <= 1 << 16 else 4
+    def ids_of(texts_: list[str]) -> list[list[int]]:
+        return [e.ids for e in model.encode_batch_fast(texts_, add_special_tokens=False)]
+
+    def encode(chunks: list[str]) -> list[bytes]:
+        pieces = [c[1:] if c[:1] == _AS_IS else " " + c for c in chunks]
+        if not apart or any(apart[0][1] in p for p in pieces):
+            return [np.array(ids, "<u4").tobytes() for ids in ids_of(pieces)]
+        number, mark = apart[0]
+        runs = ids_of([mark.join(pieces[i: i + RUN]) for i in range(0, len(pieces), RUN)])
+        ids = np.concatenate([np.array([*run, number], "<u4") for run in runs])
+        ends = (4 * np.flatnonzero(ids == number)).tolist()
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *[e + 4 for e in ends[:-1]]], ends)]
+
+    return ChunkTable(_ODD, _AS_IS, cut, encode), 2 if model.get_vocab_size() <= 1 << 16 else 4
 
 
 def _serialized(path: str, batches):
     """(doc_ids, list of serialized id arrays, ids by document) by slice."""
     table, width = _loaded(path)
     for batch in batches:
-        doc_id, rows = batch.column("doc_id"), batch.column("text").to_pylist()
-        for a, b, ids, ends in table.slices(rows):
+        for rows, ids, ends in table.slices(batch.column("text")):
             ids = ids.astype(f"<u{width}")
             last = np.array([END], f"<u{width}").tobytes()
-            yield (doc_id.slice(a, b - a),
+            yield (batch.column("doc_id").take(pa.array(rows)),
                    [ids[x:y].tobytes() + last for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())],
                    ends[1:] - ends[:-1] + 1)
 
@@ -91,9 +107,10 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
         for doc_ids, arrays, _ in _serialized(path, batches):
             yield pa.RecordBatch.from_arrays([pa.array([x[:SAMPLE_BYTES] for x in arrays], pa.binary())], ["ids"])
 
-    hashed = F.xxhash64("doc_id", F.lit("dictionary"))
-    chosen = _rows(docs).select("doc_id", F.substring("text", 1, 8 * SAMPLE_BYTES).alias("text"), hashed.alias("h"))
-    chosen = chosen.orderBy("h", "doc_id").limit(SAMPLE).drop("h").mapInArrow(run, "ids binary").toArrow()
+    ids = _rows(docs).where("doc_id IS NOT NULL").select("doc_id").distinct()
+    ids = ids.orderBy(F.xxhash64("doc_id", F.lit("dictionary")), "doc_id").limit(SAMPLE)
+    texts_ = _rows(docs).select("doc_id", F.substring("text", 1, 8 * SAMPLE_BYTES).alias("text"))
+    chosen = texts_.join(ids.hint("broadcast"), "doc_id").mapInArrow(run, "ids binary").toArrow()
     sample = sorted(chosen["ids"].to_pylist())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sample).as_bytes()
