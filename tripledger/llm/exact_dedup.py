@@ -18,8 +18,12 @@ from pyspark.sql import functions as F
 
 from tripledger.llm.frames import fresh_folder, read_table, stored, texts
 
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk; stores do not reserve disk space ahead, which costs each some 4 MB whatever it holds.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 _WHO = ("doc_id", "file", "pos")
 
 
@@ -43,8 +47,9 @@ def retained(keys: DataFrame, files_per_batch: int | None = None) -> DataFrame:
     spark = keys.sparkSession
     source, state = fresh_folder(spark, "keys"), fresh_folder(spark, "state")
     keys.write.parquet(source)
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, _ROCKS)
+    before = {name: spark.conf.get(name, None) for name in _STATE}
+    for name, value in _STATE.items():
+        spark.conf.set(name, value)
     try:
         reader = spark.readStream.schema(keys.schema)
         if files_per_batch:
@@ -55,7 +60,8 @@ def retained(keys: DataFrame, files_per_batch: int | None = None) -> DataFrame:
                  .option("checkpointLocation", state).start())
         query.awaitTermination()
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
     held = spark.read.format("statestore").load(state)
     n, keep = held.schema["value"].dataType.names
     return held.select("key.digest", F.col(f"value.{n}").alias("n"), F.col(f"value.{keep}").alias("keep"))
