@@ -21,6 +21,7 @@ HEADLINE = (
     "describe_by", "row_numbers", "welch_t", "mann_whitney", "bootstrap_diff", "chi2_hours",
     "stratified_diff", "pool_panel", "power_table", "aa_calibration", "randomisation_gap",
     "block_randomise", "readout", "bootstrap_ratio", "did", "rate_guardrail", "decision_table",
+    "landing_audit", "landed_clean", "bootstrap_did", "guardrails", "launch_decision",
 )
 
 
