@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tripledger.llm.components import components
 from tripledger.llm.frames import by_batch, read_table, stored, texts
+from tripledger.llm.near_copies import near_stage
 from tripledger.llm.rolling import word_bounds
 
 WORDS, SEED, BITS = 3, 42, 2
@@ -81,9 +82,8 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(docs: DataFrame) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id, with all columns.
+    """One document of each group of near copies stays, with all columns.
 
-    Rows without a doc_id cannot be told apart and all stay.
+    Near copies share 0.8 of their five-word shingles; two bits of the three-word fingerprint above do not reach that far.
     """
-    others = simhash_groups(docs).where("doc_id > component_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    return near_stage(docs)
