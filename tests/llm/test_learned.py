@@ -94,3 +94,19 @@ def test_vectorised_margin_is_the_mean_over_grams():
     means = [sum(model.margins[lists[c]].sum() for c in coded[0][a:a + toxicity.SPAN]) /
              sum(len(lists[c]) for c in coded[0][a:a + toxicity.SPAN]) + 0.3 for a in range(1)]
     assert model.margin("Some words, é here") == pytest.approx(means[0])
+
+
+@pytest.mark.parametrize("n", range(1, 14))
+def test_every_word_is_scored(n):
+    """The passages are those of training, and any word of a text changes its margin."""
+    rng = np.random.default_rng(n)
+    model = toxicity.ToxicModel(rng.normal(size=toxicity.BUCKETS), 0.3, (np.zeros(0), np.zeros(0)))
+    words = [f"word{i}" for i in range(n)]
+    lists, coded = toxicity._word_table([" ".join(words)])
+    parts = [coded[0][a:a + toxicity.SPAN] for a in range(0, max(1, n - toxicity.SPAN // 2), toxicity.SPAN // 2)]
+    means = np.array([sum(model.margins[lists[c]].sum() for c in p) / sum(len(lists[c]) for c in p) + 0.3 for p in parts])
+    want = toxicity.pool(means, np.zeros(len(means), int), np.array([len(means)]))[0][0]
+    assert model.margin(" ".join(words)) == pytest.approx(want)
+    for i in range(n):
+        other = [*words[:i], "changed", *words[i + 1:]]
+        assert model.margin(" ".join(other)) != pytest.approx(want, abs=1e-9)

@@ -80,7 +80,7 @@ class ToxicModel:
             sums = np.concatenate(([0.0], np.cumsum(self.margins[buckets], dtype=np.float64)))
             total += sums[end] - sums[first]
             grams += end - first
-        margin = passages(total, grams)[:: SPAN // 2] + self.intercept
+        margin = scored_passages(total, grams) + self.intercept
         return float(pool(margin, np.zeros(len(margin), int), np.array([len(margin)]))[0][0])
 
     def score(self, margins: np.ndarray) -> np.ndarray:
@@ -96,6 +96,16 @@ def passages(total: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return (t[span:] - t[:-span]) / np.maximum(g[span:] - g[:-span], 1)
 
 
+def scored_passages(total: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """The passages of training: one from every SPAN / 2 words on, the last one shorter where words are left over."""
+    step = SPAN // 2
+    found = passages(total, grams)[::step]
+    if len(total) > SPAN and len(total) % step:
+        at = len(found) * step
+        found = np.append(found, total[at:].sum() / max(grams[at:].sum(), 1))
+    return found
+
+
 def pool(margin: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Soft maximum of the passage margins of each text, less a share of the log count; weight of each passage."""
     top = np.full(len(counts), -np.inf)
