@@ -110,3 +110,18 @@ def test_every_word_is_scored(n):
     for i in range(n):
         other = [*words[:i], "changed", *words[i + 1:]]
         assert model.margin(" ".join(other)) != pytest.approx(want, abs=1e-9)
+
+
+def test_a_very_long_labelled_text_is_skipped(spark, monkeypatch):
+    texts = lexicon_texts(300, 2)
+    rows = [(i, t) for i, (t, _) in enumerate(texts)] + [(1000 + i, "long\n" * 9_000) for i in range(40)]
+    labels = spark.createDataFrame([(i, None, y) for i, (_, y) in enumerate(texts)] + [(1000 + i, None, i % 2) for i in range(40)], LABELS)
+    monkeypatch.setattr(toxicity, "MAX_WORDS", 16_000)
+    docs = frame(spark, rows)
+    held = []
+    monkeypatch.setattr(toxicity, "train", lambda sample, label: (held.extend(zip(sample, label)), (np.zeros(toxicity.BUCKETS, np.float32), 0.0))[1])
+    toxicity.fit(docs, labels)
+    assert {k for _, k in held} == {0, 1} and len(held) > 40 and all(len(t.split()) < 9_000 for t, _ in held)
+    monkeypatch.setattr(toxicity, "MAX_WORDS", 2)
+    with pytest.raises(ValueError):
+        toxicity.fit(docs, labels)

@@ -7,7 +7,8 @@ A text is scored by a soft maximum over its passages, so a few words in a long t
 through the same soft maximum, so it finds by itself which passages make a text toxic.
 Isotonic regression on texts that the training has not seen turns the margin into a probability.
 
-The fit takes at most ``SAMPLE`` labelled rows, and of their words ``MAX_WORDS``; everything is scored, whole texts.
+The fit takes at most ``SAMPLE`` labelled rows, and of their words ``MAX_WORDS``, half for each class; a text that does not fit
+is skipped, and a class of which no text fits is an error. Everything is scored, whole texts.
 Defined cases: a null text is empty; a text without words has the lowest margin of all; without labels of both
 classes every score is 0.5; a null doc_id gives ``held_out`` null; only doc_id and text are read.
 """
@@ -210,17 +211,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicModel:
     part = rows.where(F.col("draw") < FIT_SHARE)
     chosen = [part.where(F.col("label") == k).orderBy("draw", "doc_id").limit(n) for k, n in ((1, TOXIC), (0, OTHER))]
     held = []
-    count = {0: 0, 1: 0}
+    count, seen = {0: 0, 1: 0}, {0: 0, 1: 0}
     for rows_ in chosen:
         budget = MAX_WORDS // 2
         for text, label in rows_.select("text", "label").toLocalIterator():
-            budget -= text.count(" ") + 1
-            if budget < 0:
-                break
+            seen[label] += 1
+            words = len(text.lower().encode().translate(_BLANK).split())
+            if words > budget:
+                continue
+            budget -= words
             held.append((text, label))
             count[label] += 1
     none = np.zeros(0)
     if not count[0] or not count[1]:
+        if seen[0] and seen[1]:
+            raise ValueError(f"every labelled text of a class is longer than {MAX_WORDS // 2} words")
         return ToxicModel(none, 0.0, (none, none))
     margins, intercept = train([t for t, _ in held], np.array([k for _, k in held]))
     model = ToxicModel(margins, intercept, (none, none))
