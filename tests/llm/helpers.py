@@ -5,13 +5,15 @@ import re
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Extra columns whose names operators use inside.
-EXTRA = "key string, tie string, packed string, fp string, digest string, label string, core string, part string"
+NAMES = ("key", "tie", "packed", "fp", "digest", "label", "core", "part", "_f", "_p", "_n", "_k", "_t", "_void", "_kept",
+         "file", "pos", "node", "node_", "kept", "void", "bucket", "root", "a.b", "c`d")
+EXTRA = ", ".join(f"`{n.replace('`', '``')}` string" for n in NAMES)
 SCHEMA = f"doc_id long, text string, lang string, source string, n_chars long, {EXTRA}"
 
 
 def frame(spark, rows, partitions=3):
     """documents with clashing extra columns from (doc_id, text) pairs."""
-    full = [(i, t, "en", f"s{k % 3}" if k % 5 else None, None if t is None else len(t), *["x"] * 8)
+    full = [(i, t, "en", f"s{k % 3}" if k % 5 else None, None if t is None else len(t), *["x"] * len(NAMES))
             for k, (i, t) in enumerate(rows)]
     return spark.createDataFrame(full, SCHEMA).repartition(partitions)
 

@@ -9,6 +9,7 @@ import pytest
 import corpus_pipeline
 from tests.llm.helpers import by_row
 from tests.llm.test_copies import brute_print, reach
+from tests.llm.test_near_copies import groups
 from tests.llm.test_repeats import brute_bytes, brute_words
 from tripledger.llm import quality
 from tripledger.llm.frames import stored
@@ -79,11 +80,10 @@ def test_pipeline(spark):
         last[r["text"]] = max(last.get(r["text"], -1), r["doc_id"])
     assert by_row(single) == by_row(r for r in good if last[r["text"]] == r["doc_id"])
 
-    prints = {r["doc_id"]: brute_print(r["text"]) for r in single}
-    root = reach(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
+    root = groups([(r["doc_id"], r["text"]) for r in single])
     assert by_row(apart) == by_row(r for r in single if root[r["doc_id"]] == r["doc_id"])
 
-    left = {r[0]: r[4].decode("utf-8", "ignore") for r in brute_bytes([(r["doc_id"], r["text"]) for r in apart], 400)}
+    left = {r[0]: r[4].decode("utf-8", "ignore") for r in brute_bytes([(r["doc_id"], r["text"]) for r in apart], 200)}
     assert by_row(cut) == by_row((r["doc_id"], left[r["doc_id"]], r["lang"], r["source"], len(left[r["doc_id"]])) for r in apart)
 
     assert {r["doc_id"] for r in bins} == {r["doc_id"] for r in cut}

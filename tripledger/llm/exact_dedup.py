@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripledger.llm.frames import fresh_folder, read_table, stored, texts
+from tripledger.llm.frames import free_names, fresh_folder, own_columns, read_table, stored, texts
 
 #: State on disk; stores do not reserve disk space ahead, which costs each some 4 MB whatever it holds.
 _STATE = {
@@ -101,14 +101,15 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exact_stage(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all columns."""
-    place = [F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_p")]
+    names = free_names(docs, "file", "pos")
+    place = [F.col(f"_metadata.{c}").alias(n) for c, n in zip(("file_path", "row_index"), names)]
     try:
         placed = docs.select("*", *place)
     except AnalysisException:
         docs = stored(docs, "content")
         placed = docs.select("*", *place)
-    keep = exact_groups(docs).where(_stays()).select(F.col("file").alias("_f"), F.col("pos").alias("_p"))
-    return placed.join(keep, ["_f", "_p"], "left_semi").select(*docs.columns)
+    keep = exact_groups(docs).where(_stays()).select(*[F.col(c).alias(n) for c, n in zip(("file", "pos"), names)])
+    return placed.join(keep, names, "left_semi").select(*own_columns(docs))
 
 
 ORACLE = """

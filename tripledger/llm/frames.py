@@ -29,12 +29,29 @@ def texts(docs: DataFrame) -> Column:
 def row_keys(docs: DataFrame) -> tuple[Column, Column]:
     """(key, tie), which tell rows apart.
 
-    The key is the doc_id, or a digest of the text where that is null; the tie is a short digest of the text. Rows
+    The key is the doc_id, or a digest of the text where that is null; the tie is another digest of the text, of 64 bits. Rows
     that agree in doc_id and text share both and get equal results; rows of one doc_id with other texts do not.
     """
     text = texts(docs)
     return (F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(text)).alias("key"),
-            F.hash(text).bitwiseAND(0xFFFFFF).alias("tie"))
+            F.xxhash64(F.lit("tie"), text).alias("tie"))
+
+
+def free_names(docs: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns that no column of the table has, whatever the case."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def own_columns(docs: DataFrame) -> list[Column]:
+    """The columns of the table by name, also where a name holds dots or backticks."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -55,6 +72,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Slots:
+    """Tables that a loop writes again and again: each name has two folders, written in turn.
+
+    A table may be read until its name is written twice more, so a loop that replaces a table by the next holds
+    two of them on disk however long it runs.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folders: dict[str, list[str]] = {}
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        pair = self.folders.setdefault(name, [fresh_folder(self.spark, name), fresh_folder(self.spark, name)])
+        pair.reverse()
+        df.write.mode("overwrite").parquet(pair[0])
+        return self.spark.read.schema(df.schema).parquet(pair[0])
+
+
 def by_batch(make: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
     """mapInArrow function from a function of one batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +110,7 @@ def _pack(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def packed_texts(rows: DataFrame) -> DataFrame:
     """doc_id, key, tie and the compressed text: what a shuffle of whole texts carries."""
-    return rows.mapInArrow(by_batch(_pack), "doc_id long, key long, tie int, packed binary")
+    return rows.mapInArrow(by_batch(_pack), "doc_id long, key long, tie long, packed binary")
 
 
 def unpack(value: pa.Scalar) -> bytes:

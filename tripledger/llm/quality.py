@@ -173,4 +173,6 @@ def quality_stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
         x = np.array([statistics(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts_])
         return batch.filter(pa.array(model.score(x) >= THRESHOLD))
 
-    return docs.mapInArrow(by_batch(run), docs.schema)
+    # columns travel under plain names: theirs may hold dots
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    return plain.mapInArrow(by_batch(run), plain.schema).toDF(*names)

@@ -30,7 +30,7 @@ Symbols = Callable[[bytes], np.ndarray]
 #: Result columns of one document from its bytes and the (first, count) of its repeated windows.
 Finish = Callable[[bytes, np.ndarray, np.ndarray], tuple]
 
-_STRETCH = "key long, tie int, doc long, first int, count int, core long, whole long"
+_STRETCH = "key long, tie long, doc long, first int, count int, core long, whole long"
 _NAMES = "array<struct<pos: int, own: boolean, name: long, side: int>>"
 
 
@@ -44,7 +44,7 @@ def word_symbols(data: bytes) -> np.ndarray:
 
 def _cut(symbols: Symbols, shape: Shape):
     names = ["key", "tie", "doc", "first", "count", "core", "whole"]
-    types = [np.int64, np.int32, np.int64, np.int32, np.int32, np.int64, np.int64]
+    types = [np.int64, np.int64, np.int64, np.int32, np.int32, np.int64, np.int64]
 
     def packed(parts: list) -> pa.RecordBatch:
         columns = (np.concatenate(c).astype(t, copy=False) for c, t in zip(zip(*parts), types))
@@ -77,7 +77,7 @@ def _fields(value: pa.Scalar, *names: str) -> list[np.ndarray]:
 def _first_pass(symbols: Symbols, shape: Shape, finish: Finish, schema: pa.Schema):
     """Finished documents, and what is still needed of those with opened stretches."""
     run_type = pa.list_(pa.struct([("first", pa.int32()), ("count", pa.int32())]))
-    own_columns = [("doc_id", pa.int64()), ("key", pa.int64()), ("tie", pa.int32())]
+    own_columns = [("doc_id", pa.int64()), ("key", pa.int64()), ("tie", pa.int64())]
     full = pa.schema([*schema, *own_columns, ("packed", pa.binary()), ("runs", run_type)])
     unfinished = [None] * len(schema)
 
@@ -127,7 +127,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _last_pass(finish: Finish, schema: pa.Schema):
-    full = pa.schema([*schema, ("doc_id", pa.int64()), ("key", pa.int64()), ("tie", pa.int32())])
+    full = pa.schema([*schema, ("doc_id", pa.int64()), ("key", pa.int64()), ("tie", pa.int64())])
 
     def run(batches):
         for batch in batches:
@@ -181,7 +181,7 @@ def repeated_windows(
         branching = branching.unionByName(met)
     parts = straight.withColumn("state", F.lit(0)).select(*where, "state").unionByName(branching.select(*where, "state"))
     parts = parts.groupBy("key", "tie").agg(F.collect_set(F.struct("first", "count", "state", "core")).alias("parts"))
-    own = "doc_id long, key long, tie int"
+    own = "doc_id long, key long, tie long"
     once = stored(
         packed_texts(rows).join(parts, ["key", "tie"], "left").mapInArrow(
             _first_pass(symbols, shape, finish, schema),

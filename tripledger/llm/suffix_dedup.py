@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripledger.llm.frames import read_table, row_keys
+from tripledger.llm.frames import free_names, own_columns, read_table, row_keys
 from tripledger.llm.repeats import byte_symbols, repeated_windows
 from tripledger.llm.rolling import Shape, covered
 
 #: 400-byte strings, anchored by the smallest 16-byte gram among 128.
 SHAPE = Shape(length=400, gram=16, reach=128)
+#: The pipeline's stage cuts shorter strings: 50 words take 200 bytes and more, and mostly fewer than 400.
+STAGE_SHAPE = Shape(length=200, gram=16, reach=120)
 
 
 def kept_bytes(data: bytes, first: np.ndarray, count: np.ndarray, length: int) -> tuple[int, int, int, bytes]:
@@ -62,18 +64,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def suffix_stage(docs: DataFrame) -> DataFrame:
+def suffix_stage(docs: DataFrame, shape: Shape = STAGE_SHAPE) -> DataFrame:
     """All rows and columns of documents; text and n_chars without repeated strings.
 
     A character of which a part goes, goes as a whole. A null text stays null.
     """
-    kept = _result(docs, SHAPE, "kept", pa.string(), "string", lambda kept: kept.decode("utf-8", "ignore"))
-    kept = kept.select(F.col("key").alias("_k"), F.col("tie").alias("_t"), F.col("kept").alias("_kept"))
-    key, tie = row_keys(docs)
-    rest = docs.withColumn("_void", docs["text"].isNull()).withColumn("_k", key).withColumn("_t", tie)
-    rest = rest.drop("text", "n_chars").join(kept.dropDuplicates(["_k", "_t"]), ["_k", "_t"])
-    rest = rest.withColumn("text", F.when(~F.col("_void"), F.col("_kept")))
-    return rest.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    kept = _result(docs, shape, "kept", pa.string(), "string", lambda kept: kept.decode("utf-8", "ignore"))
+    key, tie, new, void = free_names(docs, "key", "tie", "kept", "void")
+    kept = kept.select(F.col("key").alias(key), F.col("tie").alias(tie), F.col("kept").alias(new)).dropDuplicates([key, tie])
+    where = dict(zip((key, tie), row_keys(docs)))
+    rest = docs.withColumns(where | {void: docs["text"].isNull()}).drop("text", "n_chars").join(kept, [key, tie])
+    rest = rest.withColumn("text", F.when(~F.col(void), F.col(new)))
+    return rest.withColumn("n_chars", F.length("text").cast("long")).select(*own_columns(docs))
 
 
 ORACLE = r"""
