@@ -81,8 +81,9 @@ def exact_groups(docs: DataFrame, files_per_batch: int | None = None) -> DataFra
         *_WHO, "digest",
         F.when(F.col("text") == F.col("kept_text"), "").otherwise(F.sha2(F.col("text").cast("binary"), 512)).alias("other"))
     checked = stored(checked, "checked")
-    groups = checked.groupBy("digest", "other").agg(
-        F.max(F.struct(*_WHO)).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    # written first, so that the join meets two plain exchanges and a hot text can be split
+    groups = stored(checked.groupBy("digest", "other").agg(
+        F.max(F.struct(*_WHO)).alias("keep"), F.count(F.lit(1)).alias("group_size")), "groups")
     twins = checked.join(groups, ["digest", "other"]).select(*_WHO, "digest", "keep", "group_size")
     single = state.where("n = 1").select(
         "keep.doc_id", "keep.file", "keep.pos", "digest", "keep", F.col("n").alias("group_size"))

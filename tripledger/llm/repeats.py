@@ -160,15 +160,15 @@ def repeated_windows(
     counted = cut.groupBy("core").agg(*counts, F.min("whole").alias("w0"), F.max("whole").alias("w1"))
     counted = counted.where("lo < hi" if earlier else "n > 1").select(
         "core", F.col("lo" if earlier else "n").alias("least"), (F.col("w0") == F.col("w1")).alias("straight"))
-    # written first, so that the join below meets two plain exchanges and a hot core can be split
+    # written first, as the wholes below, so that the join meets two plain exchanges and a hot core can be split
     counted = stored(counted, "cores")
     shared = stored(cut.join(counted, "core"), "shared")
 
     where = ("key", "tie", "first", "count", "core")
     straight = shared.where("straight AND doc > least" if earlier else "straight")
     branching = shared.where("NOT straight")
-    wholes = branching.groupBy("core", "whole").agg(
-        F.count(F.lit(1)).alias("k"), F.min("doc").alias("wlo"), F.min("key").alias("klo"))
+    wholes = stored(branching.groupBy("core", "whole").agg(
+        F.count(F.lit(1)).alias("k"), F.min("doc").alias("wlo"), F.min("key").alias("klo")), "wholes")
     branching = branching.join(wholes, ["core", "whole"])
     # state 0: repeated; 1: opened to be met by others; 2: opened to be answered
     if earlier:
