@@ -14,18 +14,55 @@ def values(seed, n, spread):
     return [(i, rng.choice("xyz"), round(rng.expovariate(1 / spread), 2)) for i in range(n)]
 
 
-@pytest.mark.parametrize("n, spread, splits", [(1, 5, 8), (2, 5, 8), (700, 3, 4), (700, 300, 64), (90, 1, 1024)])
-def test_quantiles_match_numpy(spark, n, spread, splits):
+@pytest.mark.parametrize("n, spread", [(1, 5), (2, 5), (700, 3), (700, 300), (90, 1)])
+def test_quantiles_match_numpy(spark, n, spread):
     data = values(n, n, spread)
     df = spark.createDataFrame(data, "id int, g string, v double")
     probs = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.77, "e": 1.0}
-    got = rows(K.quantiles(df, "v", probs, ["g"], n_splits=splits), "g")
+    got = rows(K.quantiles(df, "v", probs, ["g"]), "g")
     for g in {row[1] for row in data}:
         own = [row[2] for row in data if row[1] == g]
         for name, p in probs.items():
             assert got[g][name] == pytest.approx(np.percentile(own, 100 * p), abs=1e-9)
 
 
+def test_quantiles_of_a_million_different_doubles(spark):
+    """Every value differs, many by the last bit alone; two scans, and no order over the values."""
+    df = spark.range(1_000_000, numPartitions=8).select(
+        F.when(F.col("id") % 2 == 0, F.lit(1.0) + F.col("id") * F.lit(2.0 ** -52)).otherwise(
+            F.xxhash64("id") / F.lit(2.0 ** 40)).alias("v"))
+    probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.7501, "e": 0.99, "f": 1.0}
+    values = np.array([r[0] for r in df.collect()])
+    assert len(set(values)) == 1_000_000
+    got = one(K.quantiles(df, "v", probs))
+    ordered = np.sort(values)
+    for name, p in probs.items():
+        at = (len(values) - 1) * p
+        below, above = ordered[int(np.floor(at))], ordered[int(np.ceil(at))]
+        assert got[name] == below + (at - np.floor(at)) * (above - below)
+
+
+@pytest.mark.parametrize("values", [
+    [0.0, -0.0, 0.0], [-5.0, -1e-300, 0.0, 5e-324, 1e300], [float("inf"), 1.0, 2.0], [-3.0, -2.0, -1.0, -2.0], [7.0] * 9])
+def test_quantiles_at_the_ends_of_the_axis(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = one(K.quantiles(df, "v", {"lo": 0.0, "hi": 1.0}))
+    assert (got["lo"], got["hi"]) == (min(values), max(values))
+    median = sorted(values)[len(values) // 2]
+    assert len(values) % 2 == 0 or one(K.median_by(df, "v"))["median"] == median
+
+
+def test_quantiles_read_their_source_twice_and_order_cells_only(spark, tmp_path):
+    path = str(tmp_path / "v")
+    spark.range(5000).selectExpr("id * 1.0D as v", "id % 3 as g").write.parquet(path)
+    for by in ([], ["g"]):
+        q = K.quantiles(spark.read.parquet(path), "v", {"m": 0.5}, by)
+        assert q.count() == (3 if by else 1)
+        q.collect()
+        plan = q._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("FileScan") <= 2 * (1 + plan.count("Subquery subquery"))
+
+
 def test_quantiles_with_null_values_and_null_groups(spark):
     df = spark.createDataFrame(
         [(None, 1.0), (None, 3.0), ("a", None), ("a", 5.0)], "g string, v double")
@@ -66,7 +103,8 @@ def test_hot_value_leaves_small_buckets(spark):
 def test_one_scan_feeds_all_branches(spark, tmp_path):
     path = str(tmp_path / "v")
     spark.range(1000).selectExpr("id % 37 * 1.0 as v").write.parquet(path)
-    q = K.median_by(spark.read.parquet(path), "v")
+    counts = K.value_counts(spark.read.parquet(path), "v")
+    q = K.quantiles_of_counts(counts, "v", {"median": 0.5})
     q.collect()
     final = q._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "ReusedExchange" in final

@@ -12,6 +12,7 @@ from tripledger.functions import hashing as H
 from tripledger.functions import tails
 from tripledger.operators import resampling as R
 from tripledger.operators import statistics as S
+from tripledger.operators.selection import rank_parts
 
 # Published sufficient statistics and results of the yearly analysis.
 PUBLISHED = {
@@ -217,6 +218,50 @@ def test_permutations_cover_all_positions_evenly(spark):
     assert all(abs(v["m"] - 6) < 0.9 for v in mean.values())
 
 
+def test_splits_are_those_of_the_full_order(spark):
+    """Ranks inside, below and beyond the rows, several at once; the order is that of permute."""
+    units = spark.createDataFrame([(f"u{i}", float(i)) for i in range(23)], "unit string, y double").repartition(3)
+    want = rows(R.permute(units, "unit", 40, 5), "iteration", "unit")
+    ranks = [lambda total: F.floor(total / 2), lambda total: total - 3]
+    got = rows(R.split_at(units, "unit", 40, 5, ranks), "iteration", "unit")
+    assert len(got) == 40 * 23
+    assert all(got[k]["part"] == (w["rn"] > 11) + (w["rn"] > 20) for k, w in want.items())
+    ends = [lambda total: F.lit(0), lambda total: total, lambda total: total + 5]
+    assert {r["part"] for r in R.split_at(units, "unit", 3, 5, ends).collect()} == {1}
+    assert {r["part"] for r in R.split_at(units, "unit", 3, 5, [lambda total: F.lit(None).cast("bigint")]).collect()} == {None}
+    assert R.split_at(units.limit(0), "unit", 3, 5, ranks).count() == 0
+
+
+def test_splits_break_ties_by_unit(spark):
+    df = spark.createDataFrame([(0, 5, u) for u in "dbca"] + [(0, 2 ** 31 - 2, "e"), (0, 0, "f")], "iteration long, h long, unit string")
+    got = {r["unit"]: r["part"] for r in rank_parts(df, "h", "unit", [lambda n: F.lit(3), lambda n: F.lit(4)], 6).collect()}
+    assert got == {"f": 0, "a": 0, "b": 0, "c": 1, "d": 2, "e": 2}
+
+
+def test_splits_need_no_order(spark):
+    units = spark.range(50).select(F.col("id").alias("unit"), F.col("id").cast("double").alias("y"))
+    q = R.split_at(units, "unit", 20, 1, [lambda total: F.floor(total / 2)]).groupBy("iteration", "part").agg(F.avg("y"))
+    q.collect()
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+
+
+def test_weighted_sums_are_those_of_exploded_rows(spark):
+    """Sums of large and negative whole numbers under Poisson weights, digit by digit."""
+    rng = np.random.default_rng(2)
+    data = [(bool(k % 2), int(rng.integers(1, 10**9)), int(rng.integers(-10**17, 10**17)), int(rng.integers(1, H.P)), int(rng.integers(H.P)))
+            for k in range(1500)]
+    cells = spark.createDataFrame(data, "is_a boolean, n long, ticks long, sl long, of long").repartition(3)
+    cells = cells.withColumn("ticks", F.col("ticks").cast("decimal(20,0)"))
+    got = cells.mapInArrow(R.weighted_sums(30), "iteration long, is_a boolean, n long, ticks decimal(38,0)").groupBy("iteration", "is_a").agg(
+        F.sum("n").alias("n"), F.sum("ticks").alias("ticks"))
+    bounds = R.poisson_thresholds()
+    for r in got.collect():
+        w = [(sum(((sl * (2 * r["iteration"] + 1) + of) % H.P) >= b for b in bounds), n, t) for a, n, t, sl, of in data if a == r["is_a"]]
+        assert (r["n"], int(r["ticks"])) == (sum(k * n for k, n, _ in w), sum(k * t for k, _, t in w))
+    assert got.count() == 60
+
+
 def test_share_and_helpers(spark):
     df = spark.createDataFrame([(1, 0), (1, 3), (2, 3)], "a int, b int")
     got = [r[0] for r in df.select(C.share(F.col("a"), F.col("b"))).collect()]

@@ -196,9 +196,9 @@ def aa_splits(
     panel: DataFrame, metric: str, iterations: int = 2000, seed: int = SEED, p: bool = True,
 ) -> DataFrame:
     """Welch test per random half split (floor(n/2) units against the rest)."""
-    order = R.permute(panel.select("unit", metric), "unit", iterations, seed)
-    halves = order.withColumn(
-        "half", F.when(F.col("rn") <= F.floor(F.col("total") / 2), "a").otherwise("b"))
+    parts = R.split_at(
+        panel.select("unit", metric), "unit", iterations, seed, [lambda total: F.floor(total / 2)])
+    halves = parts.withColumn("half", F.when(F.col("part") == 0, "a").otherwise("b"))
     return welch_t(halves, metric, "half", "a", "b", ["iteration"], p=p)
 
 
@@ -213,19 +213,16 @@ def aa_calibration(
 
 
 def randomisation_gap(
-    panel: DataFrame, metric: str, n_arm: Column | int | None = None, iterations: int = 200,
+    panel: DataFrame, metric: str, n_arm: int | None = None, iterations: int = 200,
     seed: int = SEED, planned_max: int | None = None,
 ) -> DataFrame:
     """Baseline gap between two completely randomised arms: its spread and worst case."""
-    size = F.lit(n_arm) if isinstance(n_arm, int) else n_arm
-    if size is None:
-        size = arm_size(F.col("total"), planned_max)
-    order = R.permute(panel.select("unit", metric), "unit", iterations, seed, "gap").withColumn("_size", size)
-    rn = F.col("rn")
-    gaps = order.groupBy("iteration").agg((
-        F.avg(F.when(rn <= F.col("_size"), F.col(metric)))
-        - F.avg(F.when((rn > F.col("_size")) & (rn <= 2 * F.col("_size")), F.col(metric)))
-    ).alias("gap"))
+    def size(total: Column) -> Column:
+        return arm_size(total, planned_max) if n_arm is None else F.lit(n_arm)
+
+    parts = R.split_at(panel.select("unit", metric), "unit", iterations, seed, [size, lambda total: 2 * size(total)], "gap")
+    gaps = parts.groupBy("iteration").agg((
+        F.avg(F.when(F.col("part") == 0, F.col(metric))) - F.avg(F.when(F.col("part") == 1, F.col(metric)))).alias("gap"))
     return gaps.agg(
         F.stddev_pop("gap").alias("pure_random_sd"), F.max(F.abs("gap")).alias("pure_random_max"))
 

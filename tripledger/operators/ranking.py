@@ -15,6 +15,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripledger.operators.narrowing import histogram, narrowed
+
+
 def join_on(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
     never_null: Sequence[str] = (),
@@ -112,14 +115,13 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
 
 
 def quantiles(
-    df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = (), **kw,
+    df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = (),
 ) -> DataFrame:
-    """Exact quantiles, linear interpolation between neighbours.
+    """Exact quantiles, linear interpolation between neighbours, in two scans.
 
-    Raw rows are reduced to value counts before they are shuffled, so a group that
-    holds most rows costs no more than its distinct values.
+    Only values next to a wanted rank are shuffled, see :mod:`tripledger.operators.narrowing`.
     """
-    return quantiles_of_counts(value_counts(df, value, by), value, probs, by, **kw)
+    return narrowed(df, histogram(df, value, by), value, probs, by)
 
 
 def quantiles_of_counts(

@@ -7,13 +7,16 @@ function of keys, see :mod:`tripledger.functions.hashing`.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripledger.functions import hashing as H
 from tripledger.operators.ranking import row_numbers
+from tripledger.operators.selection import rank_parts
 
 def poisson_thresholds() -> list[int]:
     """Integer bounds on 0 … P that cut it into Poisson(1) weights 0, 1, 2, … until nothing is left of it."""
@@ -32,6 +35,63 @@ def poisson_weight(h: Column) -> Column:
     return expr.otherwise(len(poisson_thresholds())).cast("bigint")
 
 
+#: Cells whose weights a task holds at a time, and bits of a part of a sum: their products stay below 2**53.
+WEIGHT_BLOCK, PART_BITS = 512, 20
+
+
+def weighted_sums(iterations: int):
+    """mapInArrow function: per iteration and side the sums of n and ticks of the batch's cells, under Poisson weights.
+
+    A task keeps one array of sums over all iterations instead of a row per cell and iteration. Whole numbers are cut into
+    parts of ``PART_BITS`` bits, so that products of matrices of doubles are exact.
+    """
+    bounds = np.array(poisson_thresholds(), np.int64)
+    steps = np.arange(iterations, dtype=np.int64) * 2 + 1
+    # the weight by the leading bits of a value; where a bound lies within, the weight is looked up
+    shift, table = 15, np.searchsorted(bounds, np.arange(1 << 16, dtype=np.int64) << 15, side="right")
+    mixed = np.zeros(1 << 16, bool)
+    mixed[bounds >> shift] = True
+
+    def weights(slope: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        h = (slope[:, None] * steps + offset[:, None]) % H.P
+        lead = h >> shift
+        out = table[lead].astype(np.float64)
+        edge = mixed[lead]
+        out[edge] = np.searchsorted(bounds, h[edge], side="right")
+        return out
+
+    def parts(column: pa.Array) -> tuple[list[int], np.ndarray]:
+        values = np.array([int(v) for v in column.to_pylist()], object)
+        places = []
+        # the last part keeps the sign
+        while not places or values.max() >= 1 << PART_BITS or values.min() < -1 << PART_BITS:
+            places.append((values & ((1 << PART_BITS) - 1)).astype(np.float64))
+            values = values >> PART_BITS
+        places.append(values.astype(np.float64))
+        return [PART_BITS * k for k in range(len(places))], np.stack(places, axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[bool, np.ndarray] = {}
+        for batch in batches:
+            side = batch.column("is_a").to_numpy(zero_copy_only=False).astype(bool)
+            slope, offset = (batch.column(c).to_numpy() for c in ("sl", "of"))
+            (n_at, n), (t_at, ticks) = (parts(batch.column(c)) for c in ("n", "ticks"))
+            cells = np.hstack([n, ticks])
+            for mine in (False, True):
+                rows = np.flatnonzero(side == mine)
+                for k in range(0, len(rows), WEIGHT_BLOCK):
+                    block = rows[k:k + WEIGHT_BLOCK]
+                    found = (weights(slope[block], offset[block]).T @ cells[block]).astype(np.int64).astype(object)
+                    sums = np.stack([sum(found[:, j] << at for j, at in enumerate(n_at)),
+                                     sum(found[:, len(n_at) + j] << at for j, at in enumerate(t_at))])
+                    totals[mine] = totals[mine] + sums if mine in totals else sums
+        for mine, (n, ticks) in totals.items():
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.arange(iterations)), pa.array(np.full(iterations, mine)), pa.array(n.tolist(), pa.int64()),
+                pa.array(ticks.tolist(), pa.decimal128(38, 0))], ["iteration", "is_a", "n", "ticks"])
+    return run
+
+
 def fan_out(
     df: DataFrame, iterations: int, name: str = "iteration", width: int | None = None,
 ) -> DataFrame:
@@ -91,7 +151,7 @@ def bootstrap_diff(
 
     Rows fall at random into ``cells`` cells per group, and a cell keeps its count and sum:
     one aggregation, whatever the number of rows. Each cell gets a Poisson(1) weight
-    per iteration, and a replicate is the ratio of the weighted sums. Sums are whole
+    per iteration, and a replicate is the ratio of the weighted sums: tasks keep one array of sums over the iterations. Sums are whole
     numbers, so replicates are the same however the rows were split.
     Given ``m``, only a sub-sample of ``m`` rows per group is used.
     """
@@ -104,12 +164,13 @@ def bootstrap_diff(
         F.sum(F.floor(F.col(value) * 1e6 + 0.5).cast("decimal(20,0)")).alias("ticks"))
     dig = H.digest(seed, F.col("is_a"), F.col("cell"), purpose="weight")
     keyed = sums.select("is_a", "n", "ticks", H.slope(dig).alias("sl"), H.offset(dig).alias("of"))
-    w = poisson_weight(H.iteration_value(F.col("sl"), F.col("of"), F.col("iteration")))
-    drawn = fan_out(keyed, iterations).select("iteration", "is_a", "n", "ticks", w.alias("w"))
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = keyed.repartition(width, "sl", "of").mapInArrow(
+        weighted_sums(iterations), "iteration long, is_a boolean, n long, ticks decimal(38,0)")
 
     def mean(side: Column) -> Column:
-        ticks = F.sum(F.when(side, F.col("w").cast("decimal(3,0)") * F.col("ticks")))
-        return F.try_divide(ticks.cast("double"), F.sum(F.when(side, F.col("w") * F.col("n"))).cast("double")) / 1e6
+        ticks, n = F.sum(F.when(side, F.col("ticks"))), F.sum(F.when(side, F.col("n")))
+        return F.try_divide(ticks.cast("double"), n.cast("double")) / 1e6
 
     replicates = drawn.groupBy("iteration").agg(
         (mean(F.col("is_a")) - mean(~F.col("is_a"))).alias("diff"))
@@ -180,3 +241,18 @@ def permute(
     return row_numbers(
         ordered, ["_h", unit], by=["iteration"],
         bucket=F.floor(F.col("_h") / (H.P / 64.0)).cast("int")).drop("_h")
+
+
+def split_at(
+    units: DataFrame, unit: str, iterations: int, seed: int, ranks: Sequence[Callable[[Column], Column]],
+    purpose: str = "split",
+) -> DataFrame:
+    """All units per iteration, with ``part``: how many of the ranks a unit is beyond in the order of :func:`permute`.
+
+    ``ranks`` are positions as functions of the number of units. Nothing is ordered, see :mod:`tripledger.operators.selection`.
+    """
+    dig = H.digest(seed, F.col(unit), purpose=purpose)
+    keyed = units.withColumns({"sl": H.slope(dig), "of": H.offset(dig)})
+    h = H.iteration_value(F.col("sl"), F.col("of"), F.col("iteration"))
+    rows = fan_out(keyed, iterations).withColumn("_h", h).drop("sl", "of")
+    return rank_parts(rows, "_h", unit, ranks, units.count()).drop("_h")

@@ -7,43 +7,55 @@ helpers in :mod:`tripledger.functions.tails` and touch only those rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripledger.functions import exact as X
 from tripledger.functions.tails import chi2_pvalue, normal_pvalue, normal_quantile, t_pvalue
-from tripledger.operators.ranking import join_on, prefix_sums, quantiles
+from tripledger.operators.narrowing import histogram, narrowed
+from tripledger.operators.ranking import join_on, prefix_sums
 
 ALPHA = 0.05
 
 
 # --- description -------------------------------------------------------------------
 
+def _described(df: DataFrame, value: str, by: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+    """Moments and quantiles from one histogram and the values next to the wanted ranks: two scans."""
+    v = F.col(value)
+    hist = histogram(df, value, by, [
+        F.sum(X.whole_part(v)).alias("whole"), F.sum(X.tick_part(v)).alias("ticks"),
+        F.avg(v).alias("mean"), F.var_pop(v).alias("var")])
+    n, group = F.col("n"), Window.partitionBy(*by)
+    centred = hist.withColumn("_mean", F.sum(n * F.col("mean")).over(group) / F.sum("n").over(group))
+    gap = F.col("mean") - F.col("_mean")
+    size = F.sum("n")
+    moments = centred.groupBy(*by).agg(
+        size.alias("n"),
+        F.try_divide(X.join_parts(F.sum("whole"), F.sum("ticks")).cast("double"), size.cast("double")).alias("mean"),
+        F.sqrt(F.sum(n * (F.col("var") + gap * gap)) / F.when(size > 1, size - 1)).alias("sd"),
+        F.min("lo").alias("min"), F.max("hi").alias("max"))
+    q = narrowed(df, hist, value, probs, by)
+    if by:
+        return join_on(moments, q, by)
+    packed = q.select(F.struct(*probs)).scalar()
+    return moments.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("_q", packed).select(
+        "n", "mean", "sd", "min", "max", *[F.col(f"_q.{p}").alias(p) for p in probs])
+
+
 def group_stats(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Count, mean and exact median per group."""
-    moments = df.groupBy(*by).agg(
-        F.count(value).alias("n"), X.exact_mean(F.col(value)).alias("mean"))
-    return join_on(moments, quantiles(df, value, {"median": 0.5}, by), by) if by else (
-        moments.withColumn("median", quantiles(df, value, {"median": 0.5}).scalar()))
+    """Count, mean and exact median per group with a value."""
+    return _described(df, value, by, {"median": 0.5}).select(*by, "n", "mean", "median")
 
 
 def describe_by(
     df: DataFrame, value: str, by: Sequence[str] = (), probs: dict[str, float] | None = None,
 ) -> DataFrame:
-    """Count, mean, sample sd, min, exact quantiles, max per group."""
+    """Count, mean, sample sd, min, exact quantiles, max per group with a value."""
     probs = probs or {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
-    moments = df.groupBy(*by).agg(
-        F.count(value).alias("n"), X.exact_mean(F.col(value)).alias("mean"),
-        F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"),
-    )
-    q = quantiles(df, value, probs, by)
-    if by:
-        return join_on(moments, q, by).select(*by, "n", "mean", "sd", "min", *probs, "max")
-    packed = q.select(F.struct(*probs)).scalar()
-    return moments.withColumn("_q", packed).select(
-        "n", "mean", "sd", "min", *[F.col(f"_q.{p}").alias(p) for p in probs], "max")
+    return _described(df, value, by, probs).select(*by, "n", "mean", "sd", "min", *probs, "max")
 
 
 def density_hist(
