@@ -70,11 +70,14 @@ def test_quantiles_with_null_values_and_null_groups(spark):
     assert got[None]["median"] == 2.0 and got["a"]["median"] == 5.0
 
 
-def test_running_totals_match_brute_force(spark):
+@pytest.mark.parametrize("bucket_rows, fan", [(50_000, 1024), (20, 1024), (5, 8)])
+def test_running_totals_match_brute_force(spark, monkeypatch, bucket_rows, fan):
+    """No split, one level, and two levels."""
+    monkeypatch.setattr(K, "FAN", fan)
     data = values(5, 500, 50)
     df = spark.createDataFrame(data, "id int, g string, v double")
     counts = K.value_counts(df, "v", ["g"])
-    got = rows(K.prefix_sums(counts, ["v"], "n_value", ["g"], n_splits=16), "g", "v")
+    got = rows(K.prefix_sums(counts, ["v"], "n_value", ["g"], bucket_rows=bucket_rows), "g", "v")
     freq = Counter((g, v) for _, g, v in data)
     for (g, v), n in freq.items():
         assert got[g, v]["n_value"] == n
@@ -85,7 +88,7 @@ def test_running_totals_match_brute_force(spark):
 def test_row_numbers_over_two_columns(spark):
     data = [(i, random.Random(i).randint(0, 9) / 2) for i in range(300)]
     df = spark.createDataFrame(data, "id int, v double").repartition(5)
-    got = rows(K.row_numbers(df, ["v", "id"], n_splits=32), "id")
+    got = rows(K.row_numbers(df, ["v", "id"], bucket_rows=10), "id")
     for rank, (i, _) in enumerate(sorted(data, key=lambda t: (t[1], t[0])), start=1):
         assert got[i]["rn"] == rank and got[i]["total"] == 300
 
@@ -95,16 +98,34 @@ def test_hot_value_leaves_small_buckets(spark):
     df = spark.range(20_000).select(
         F.when(F.col("id") % 3 > 0, 7.0).otherwise(F.col("id").cast("double")).alias("v"))
     counts = K.value_counts(df, "v").withColumn("_w", F.col("n_value"))
-    sizes = K._with_split_bucket(counts, ["v"], False, 64).groupBy("_b").count()
-    assert sizes.agg(F.max("count")).first()[0] < counts.count() / 5
+    n = counts.count()
+    sizes = K.split_buckets(counts, ["v"], [], n, n // 64).groupBy("_b").count()
+    assert sizes.agg(F.max("count")).first()[0] < n / 20
     assert one(K.median_by(df, "v"))["median"] == 7.0
 
 
+@pytest.mark.parametrize("fan", [1024, 16])
+def test_a_narrow_group_is_cut_as_finely_as_a_wide_one(spark, monkeypatch, fan):
+    """Buckets follow the rows of a group, not its range; with a small fan they come in two levels."""
+    monkeypatch.setattr(K, "FAN", fan)
+    wide = spark.range(20_000).select(F.lit("wide").alias("g"), (F.xxhash64("id") / 1e6).alias("v"))
+    narrow = spark.range(20_000).select(F.lit("narrow").alias("g"), (F.lit(7.0) + F.col("id") * 1e-13).alias("v"))
+    few = spark.range(5).select(F.lit("few").alias("g"), F.col("id").cast("double").alias("v"))
+    df = wide.unionByName(narrow).unionByName(few).withColumn("_w", F.lit(1))
+    got = K.split_buckets(df, ["v"], ["g"], 40_005, 200).groupBy("g", "_b").agg(
+        F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("g", "_b").collect()
+    for g in ("wide", "narrow"):
+        mine = [r for r in got if r["g"] == g]
+        assert 90 <= len(mine) <= 256 and max(r["n"] for r in mine) < 500
+        assert all(a["hi"] < b["lo"] for a, b in zip(mine, mine[1:]))
+    assert [r["n"] for r in got if r["g"] == "few"] == [5]
+
+
 def test_one_scan_feeds_all_branches(spark, tmp_path):
     path = str(tmp_path / "v")
     spark.range(1000).selectExpr("id % 37 * 1.0 as v").write.parquet(path)
     counts = K.value_counts(spark.read.parquet(path), "v")
-    q = K.quantiles_of_counts(counts, "v", {"median": 0.5})
+    q = K.quantiles_of_counts(counts, "v", {"median": 0.5}, bucket_rows=10)
     q.collect()
     final = q._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "ReusedExchange" in final

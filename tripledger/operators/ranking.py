@@ -1,9 +1,10 @@
 """Ranks, running totals and exact quantiles without a one-task sort.
 
 A window over a whole table, or over one hot group, puts all its rows in one
-task. Here the order axis is first cut into buckets by split points; totals per
+task. Here the order axis is first cut into buckets by split points, as many as
+the rows of a group ask for, in two levels where one does not suffice; totals per
 bucket are small enough to add up in one place, and rows are only sorted inside
-their bucket. The split points are the order values with the smallest hashes, a
+their bucket. Split points come from the rows with the smallest hashes, a
 sample that is the same on every run, so the branches of the plan that use them
 always agree.
 """
@@ -34,52 +35,80 @@ def join_on(
     return left.join(marked, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def _with_split_bucket(
-    df: DataFrame, order: Sequence[str], grouped: bool, n_splits: int,
-) -> DataFrame:
-    """Add ``_b``, the number of split points at or below a row; at most ``n_splits``.
+#: Rows of a bucket, about; buckets of a level; sampled rows for each split point.
+BUCKET_ROWS, FAN, OVERSAMPLE = 50_000, 1024, 32
+
 
-    A binary search over the sorted split points, one column expression per halving.
+def _split_level(df: DataFrame, order: Sequence[str], by: Sequence[str], bucket_rows: int, out: str) -> DataFrame:
+    """Add the number of split points of the group at or below a row, below ``FAN``.
+
+    A group has a split point for each ``bucket_rows`` of its rows, at equal distances in its own sample, so that a
+    group in a narrow range is cut as finely as any. Rows find their bucket by binary search, one column expression per halving.
     """
     key = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     # Reading the weight keeps this branch equal to its siblings, so they share one shuffle.
-    keys = df.where(F.col("_w") >= 0).select(key.alias("k"))
-    if grouped:
-        keys = keys.distinct()
-    points = (
-        keys.orderBy(F.xxhash64("k"), "k").limit(n_splits)
-        .agg(F.sort_array(F.collect_list("k"))).scalar()
-    )
-    df = df.withColumns({"_k": key, "_p": points, "_b": F.lit(0)})
-    step = 1 << (n_splits.bit_length() - 1)
+    keys = df.where(F.col("_w") >= 0).select(*by, key.alias("_k"))
+    n = F.count(F.lit(1))
+    sizes = keys.groupBy(*by).agg(n.alias("_n"), F.least(F.ceil(n / bucket_rows), F.lit(FAN)).alias("_want"))
+    drawn = F.pmod(F.xxhash64("_k"), F.lit(1 << 31)) * F.col("_n") < F.col("_want") * OVERSAMPLE * (1 << 31)
+    if by:
+        sample = join_on(keys, sizes.where("_want > 1"), by).where(drawn)
+    else:
+        sample = keys.withColumn("_s", sizes.select(F.struct("_n", "_want")).scalar()).withColumns(
+            {"_n": F.col("_s._n"), "_want": F.col("_s._want")}).drop("_s").where(drawn & (F.col("_want") > 1))
+    sample = sample.groupBy(*by).agg(F.sort_array(F.collect_list("_k")).alias("_sample"), F.max("_want").alias("_want"))
+    places = F.sequence(F.lit(1).cast("bigint"), F.col("_want") - 1)
+    points = sample.select(*by, F.transform(places, lambda i: F.get(
+        "_sample", F.floor(i * F.size("_sample") / F.col("_want")).cast("int"))).alias("_p"))
+    if by:
+        df = join_on(df, points, by, "left")
+    else:
+        df = df.withColumn("_p", points.scalar())
+    df = df.withColumns({"_k": key, out: F.lit(0)})
+    step = FAN // 2
     while step:
-        passed = F.get("_p", F.col("_b") + (step - 1)) <= F.col("_k")
-        df = df.withColumn("_b", F.col("_b") + F.when(passed, step).otherwise(0))
+        passed = F.get("_p", F.col(out) + (step - 1)) <= F.col("_k")
+        df = df.withColumn(out, F.col(out) + F.when(passed, step).otherwise(0))
         step //= 2
     return df.drop("_k", "_p")
 
 
+def split_buckets(
+    df: DataFrame, order: Sequence[str], by: Sequence[str], rows: int, bucket_rows: int = BUCKET_ROWS,
+) -> DataFrame:
+    """Add ``_b``, a bucket number that does not decrease with the order in a group; ``rows`` decides the levels.
+
+    Buckets of the first level are cut again where they are larger than ``bucket_rows``, each at points of its own: up to
+    ``FAN`` squared buckets a group.
+    """
+    df = _split_level(df, order, by, bucket_rows, "_b")
+    if rows > bucket_rows * FAN:
+        df = _split_level(df, order, [*by, "_b"], bucket_rows, "_b2")
+        df = df.withColumn("_b", F.col("_b") * FAN + F.col("_b2")).drop("_b2")
+    return df
+
+
 def prefix_sums(
     df: DataFrame, order: Sequence[str], weight: str | None = None, by: Sequence[str] = (),
-    bucket: Column | None = None, n_splits: int = 1023,
+    bucket: Column | None = None, bucket_rows: int = BUCKET_ROWS,
     before: str = "before", total: str = "total",
 ) -> DataFrame:
     """Add the sum of ``weight`` over all smaller rows of the group, and the group total.
 
     ``order`` must be free of nulls and unique within a group. ``bucket`` may give
     a ready-made non-decreasing function of the order, for instance the leading
-    digits of a hash. ``n_splits`` suits inputs that are already reduced; rows of a
-    whole trip table take more, so that a bucket still fits one task.
+    digits of a hash. Otherwise the rows are counted: up to ``bucket_rows`` are one bucket a group, more are cut.
     """
     by = list(by)
     df = df.withColumn("_w", (F.lit(1) if weight is None else F.col(weight)).cast("bigint"))
-    if bucket is None:
-        tagged = _with_split_bucket(df, order, bool(by), n_splits)
-    else:
-        tagged = df.withColumn("_b", bucket)
-
-    # At most n_splits + 1 rows per group reach this window.
     in_group = Window.partitionBy(*by)
+    rows = df.count() if bucket is None else 0
+    if bucket is None and rows <= bucket_rows:
+        seen = F.sum("_w").over(in_group.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return df.withColumns({before: seen - F.col("_w"), total: F.sum("_w").over(in_group)}).drop("_w")
+    tagged = split_buckets(df, order, by, rows, bucket_rows) if bucket is None else df.withColumn("_b", bucket)
+
+    # One row per bucket and group reaches this window.
     offsets = (
         tagged.groupBy(*by, "_b").agg(F.sum("_w").alias("_bw"))
         .withColumns({
