@@ -75,6 +75,35 @@ def test_clean_stage_end_to_end(spark, tmp_path):
     assert "PartitionFilters: [month" in plan.replace("isnotnull(month", "month")
 
 
+def test_clean_stage_reads_once_and_counts_all_classes(spark, tmp_path, monkeypatch):
+    """The audit comes from the write: ids of bad rows alone, mixed ids, empty ids; a pass of its own only where it must."""
+    bad_time = LINE.format(5, 1).replace("10:10:00", "soon")
+    land(tmp_path / "ods", 1, "\n".join([HEADER, LINE.format(1, 1), LINE.format(1, 1), LINE.format(1, 1).replace("10:10:00", "10:00:00"),
+                                         bad_time, LINE.format(6, 1).replace("member", "alien"), LINE.format("", 1)]) + "\n")
+    raw = landing.read_trips_csv(spark, str(tmp_path / "ods")).where("year = 2025")
+    want, own = one(cleaning.quality_audit(raw, SPEC)), cleaning.quality_audit
+    asked = []
+    monkeypatch.setattr(cleaning, "quality_audit", lambda *a: asked.append(1) or own(*a))
+    out = str(tmp_path / "dwd")
+    report = one(stages.clean_stage(spark, str(tmp_path / "ods"), out, 2025))
+    assert not asked and {k: report[k] for k in want if k in report} == {k: v for k, v in want.items() if k in report}
+    assert by_columns(tables.read_trips(spark, out)) == by_columns(cleaning.clean(raw, SPEC))
+    nothing = one(stages.clean_stage(spark, str(tmp_path / "ods"), str(tmp_path / "none"), 1999))
+    assert (nothing["n_raw"], nothing["n_clean"]) == (0, 0)
+    # counts that disagree with the rows written are not believed
+    asked.clear()
+    monkeypatch.setattr(tables, "write_trips", lambda *a, **k: 0 if write(*a, **k) else 1)
+    again = one(stages.clean_stage(spark, str(tmp_path / "ods"), out, 2025))
+    assert asked and again == report
+
+
+write = tables.write_trips
+
+
+def by_columns(df):
+    return sorted((tuple(str(r[c]) for c in sorted(df.columns)) for r in df.collect()))
+
+
 def test_write_counts_overwrites_and_keeps_untouched_partitions(spark, tmp_path):
     path = str(tmp_path / "t")
     jan = [("2025-01-02 08:00:00", 5, "member", "classic_bike", "A", "B")] * 3

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tripledger.functions import columns as C
@@ -64,38 +64,36 @@ def clean(
     Calendar fields are derived after the shuffle of the de-duplication, which then
     moves only source columns.
     """
-    derived = {spec.date, spec.hour, spec.dow, spec.day_type}
-    source = [c for c in spec.clean_columns() if c not in derived]
+    source = _source_columns(spec)
     good = keep_good(prepare(raw, spec), spec, rules).select(*source)
     one_each = dedup(good, spec.trip_id, order or [spec.start_ts, spec.end_ts])
     return C.with_calendar(one_each, spec).select(*spec.clean_columns())
 
 
+def _source_columns(spec: TripSpec) -> list[str]:
+    """Clean columns that are not derived after the shuffle."""
+    derived = {spec.date, spec.hour, spec.dow, spec.day_type}
+    return [c for c in spec.clean_columns() if c not in derived]
+
+
+def _class_counts() -> list[Column]:
+    return [F.count("*").alias("n_raw"), *[
+        F.count_if(F.col("_cls") == c).alias(f"n_{c}") for c in ("bad_time", "bad_duration", "bad_enum", "good")]]
+
+
 def _per_id(raw: DataFrame, spec: TripSpec, rules: CleanRules) -> DataFrame:
     """Row counts by audit class for each trip id."""
     cls = audit_class(spec, rules)
-    return (
-        prepare(raw, spec).select(F.col(spec.trip_id), cls.alias("_cls"))
-        .groupBy(spec.trip_id)
-        .agg(
-            F.count("*").alias("n_raw"),
-            *[F.count_if(F.col("_cls") == c).alias(f"n_{c}")
-              for c in ("bad_time", "bad_duration", "bad_enum", "good")],
-        )
-    )
+    return prepare(raw, spec).select(F.col(spec.trip_id), cls.alias("_cls")).groupBy(spec.trip_id).agg(*_class_counts())
 
 
-def quality_audit(raw: DataFrame, spec: TripSpec, rules: CleanRules = CleanRules()) -> DataFrame:
-    """One row of counts, each raw row counted under the first rule it breaks.
-
-    Counting per trip id first gives distinct ids, clean rows and removed copies
-    from the same shuffle, without a second pass or an expanded distinct count.
-    """
+def _audit_counts(spec: TripSpec) -> list[Column]:
+    """The audit from counts per trip id."""
     def total(c: str) -> Column:
         return F.coalesce(F.sum(c), F.lit(0))
 
     kept = F.count_if(F.col("n_good") > 0)
-    return _per_id(raw, spec, rules).agg(
+    return [
         total("n_raw").alias("n_raw"),
         F.count(spec.trip_id).alias("n_distinct_ride_id"),
         total("n_bad_time").alias("dropped_bad_time"),
@@ -103,7 +101,40 @@ def quality_audit(raw: DataFrame, spec: TripSpec, rules: CleanRules = CleanRules
         total("n_bad_enum").alias("dropped_bad_enum"),
         kept.alias("n_clean"),
         (total("n_good") - kept).alias("n_removed_as_duplicate"),
-    )
+    ]
+
+
+def clean_audited(
+    raw: DataFrame, spec: TripSpec, audit: Observation, rules: CleanRules = CleanRules(),
+    order: Sequence[str] | None = None,
+) -> DataFrame:
+    """The rows of :func:`clean`; running them leaves the counts of :func:`quality_audit` in ``audit``.
+
+    The shuffle that de-duplicates also carries the counts by class of each trip id, so nothing is read or
+    parsed twice. An id without a good row has counts alone and ends here. The counts are taken in front of later shuffles:
+    where a task of that stage runs again because its output was lost, its counts come in twice. Compare
+    ``n_clean`` with the rows written, as the clean stage does.
+    """
+    source = _source_columns(spec)
+    rows = prepare(raw, spec).withColumn("_cls", audit_class(spec, rules))
+    key = spec.trip_id
+    rest = [c for c in source if c != key]
+    first = list(order or [spec.start_ts, spec.end_ts])
+    packed = F.struct(*first, *[c for c in rest if c not in first])
+    per_id = rows.select(*source, "_cls").groupBy(key).agg(
+        *_class_counts(), F.min(F.when(F.col("_cls") == "good", packed)).alias("_row"))
+    kept = per_id.observe(audit, *_audit_counts(spec)).where(F.col("_row").isNotNull())
+    one_each = kept.select(*[F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in source])
+    return C.with_calendar(one_each, spec).select(*spec.clean_columns())
+
+
+def quality_audit(raw: DataFrame, spec: TripSpec, rules: CleanRules = CleanRules()) -> DataFrame:
+    """One row of counts, each raw row counted under the first rule it breaks.
+
+    Counting per trip id first gives distinct ids, clean rows and removed copies
+    from the same shuffle, without a second pass or an expanded distinct count.
+    """
+    return _per_id(raw, spec, rules).agg(*_audit_counts(spec))
 
 
 def quality_report(audit: DataFrame, year: int | None, rules: CleanRules = CleanRules()) -> DataFrame:

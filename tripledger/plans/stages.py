@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tripledger.functions import columns as C
@@ -26,13 +26,20 @@ def clean_stage(
 ) -> DataFrame:
     """One year of landed CSV to partitioned Parquet, plus the quality record beside it.
 
-    Only the year's partitions are read and replaced; other years of the output stay. Two passes over the
-    raw files: one for the audit, one for the write.
+    Only the year's partitions are read and replaced; other years of the output stay. One pass over the raw
+    files: the audit is observed while the rows are written. Where it does not agree with the rows written, because a lost task was
+    counted twice, or has nothing to say, because the year has no files, it is taken by a pass of its own.
     """
     raw = landing.read_trips_csv(spark, raw_root).where(F.col(spec.year) == year)
-    tables.write_trips(
-        cleaning.clean(raw, spec, rules), out, [spec.year, spec.period], replace_touched_only=True)
-    report = cleaning.quality_report(cleaning.quality_audit(raw, spec, rules), year, rules)
+    seen = Observation("audit")
+    written = tables.write_trips(
+        cleaning.clean_audited(raw, spec, seen, rules), out, [spec.year, spec.period], replace_touched_only=True, count=True)
+    counts = seen.get
+    if counts.get("n_clean") == written:
+        audit = spark.range(1).select(*[F.lit(n).cast("bigint").alias(c) for c, n in counts.items()])
+    else:
+        audit = cleaning.quality_audit(raw, spec, rules)
+    report = cleaning.quality_report(audit, year, rules)
     tables.write_record(report, f"{out}/_quality.json")
     return spark.read.json(f"{out}/_quality.json")
 

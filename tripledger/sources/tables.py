@@ -28,18 +28,18 @@ def write_trips(
     execution split a large one, so a month is neither scattered over every task
     nor squeezed through one. It costs a shuffle; without it every task writes a
     file per partition it holds. With ``count`` the number of rows is observed
-    during the write instead of read back.
+    in the stage that writes, once for each task, instead of read back.
     """
-    seen = Observation("trips_written") if count else None
-    rows = trips.observe(seen, F.count(F.lit(1)).alias("n")) if count else trips
+    rows = trips.hint("rebalance", *parts) if rebalance else trips
     mode = "dynamic" if replace_touched_only else "static"
-    if rebalance:
-        rows = rows.hint("rebalance", *parts)
+    seen = Observation("trips_written") if count else None
+    if count:
+        rows = rows.observe(seen, F.count(F.lit(1)).alias("n"))
     (
         rows.write.mode("overwrite")
         .option("partitionOverwriteMode", mode).partitionBy(*parts).parquet(path)
     )
-    return seen.get["n"] if count else None
+    return seen.get.get("n", 0) if count else None
 
 
 def read_trips(spark: SparkSession, path: str, fallback: str | None = None) -> DataFrame:
