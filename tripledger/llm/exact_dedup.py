@@ -7,7 +7,8 @@ row per task. Digests with more than one row are hits; their rows are fetched an
 content at the place of the retained row, and rows of other content form groups of their own.
 
 Defined cases: a null text equals an empty one; the row with the largest doc_id stays, a null doc_id being the
-smallest; of repeated rows with one doc_id the one at the last place stays alone; nothing else of the row matters.
+smallest; of repeated rows with one doc_id the one at the last place stays alone; nothing else of the row matters, and other
+columns pass through the stage whatever their names; very long texts travel whole, and only where they are hits.
 """
 
 from __future__ import annotations

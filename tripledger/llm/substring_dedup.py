@@ -2,15 +2,17 @@
 
 The words of a text are the symbols of a De Bruijn graph: a window of ``length`` words is an edge from its first
 ``length - 1`` words to its last ones, and consecutive windows of a document follow each other as a path. Paths are
-compacted before anything is shuffled: consecutive windows with one anchor form one stretch, and a stretch that is
-the only one around its ``core`` is a path without branches in the whole corpus, answered as one row by one
-Spark join. Only branching stretches are opened into single edges, which a second join answers.
+compacted before anything is shuffled: a task joins consecutive windows with one content-defined anchor to a stretch, and a
+stretch whose ``core`` has the same surroundings wherever it occurs is a path without branches, answered as one row by one
+Spark join. Only branching stretches are opened into single edges, which a second join answers. The steps are those of :mod:`repeats`.
+So paths are cut at anchors rather than at branches, and compaction happens inside tasks rather than by joins.
 The coordinates of every run (document, first window, count) lead back to the source, where they are laid over
-the words of the text itself.
+the words of the text itself. Equality rests on two 64-bit fingerprints, of the core and of the window; the words of two places are not
+compared with each other.
 
 Defined cases: a null text has no words; documents below ``length`` words keep all; of documents with
 one doc_id none is earlier than another; a null doc_id comes after all others; columns other than doc_id and text
-are ignored.
+are ignored; of a very long text one task holds all opened windows at a time, some 25 bytes each.
 """
 
 from __future__ import annotations

@@ -1,18 +1,23 @@
 """Operator 10: removal of byte strings that occur anywhere else.
 
-The steps of difference-cover suffix sorting, bounded to ``length`` bytes:
+This is not the difference-cover suffix array that the operator is named after: nothing is sorted, no triple is named, there is
+no recursion, no merge and no comparison of adjacent prefixes. What it keeps of that method is the sample. A difference cover makes
+sure that two equal strings have sampled suffixes at one common offset; here the sample is the content-defined anchor of each
+window of ``length`` bytes, which depends on the window alone and so lies at one offset in all its copies. The steps
+are those of :mod:`repeats`, with bytes as symbols:
 
-* the sampled suffixes start at content-defined anchors. As with a difference cover, two equal strings of ``length``
-  bytes have sampled suffixes at one common offset, here because the anchor depends on the string alone;
-* sampled suffixes get names. A name is a 64-bit fingerprint of the prefix: equal prefixes, equal names, so that
-  naming needs no global rank and longer names come from prefix sums instead of recursion;
-* suffixes meet by name in sorted shuffles; those whose prefix has no equal leave at once;
-* the remaining suffixes, between the samples of branching groups, are merged in by the name of their own
-  ``length`` bytes, and equal prefixes are found.
+* windows with one anchor form a stretch, one row of two 64-bit fingerprints: of the bytes that all its windows share (core), and
+  of all its bytes (whole);
+* stretches are counted by core; where a core occurs once, none of its windows occurs elsewhere;
+* where all stretches of a core agree as a whole, all their windows are repeated; else one stretch of each whole is
+  opened into its windows, which are counted by fingerprint.
+
+Which strings are equal is thus decided by fingerprints, a core and a window each, not by comparing bytes. README has the reasons and
+figures for leaving the sort.
 
 Defined cases: a null text is empty; documents below ``length`` bytes keep all; repeated rows are places of
-their own and lose what they share; a null doc_id is a document like any other; columns other than doc_id and text
-are ignored.
+their own and lose what they share; a null doc_id is a document like any other; other columns are ignored by the operator
+and pass through the stage whatever their names; of a very long text one task holds all opened windows at a time, some 25 bytes each.
 """
 
 from __future__ import annotations
