@@ -74,6 +74,34 @@ def test_shared_dictionary_and_shards(spark, tmp_path, monkeypatch):
         assert (got[i]["start"], got[i]["n_tokens"]) == (start, len(ids))
         start += len(ids)
     assert tf.read_document(spark, folder, 123) == [library_ids([rows[123][1]])[0]]
-    bad = spark.read.parquet(f"{folder}/shards").limit(1).toArrow().to_pylist()[0] | {"dictionary": "other"}
+    shards = spark.read.parquet(f"{folder}/shards")
+    assert shards.where("min_id <= 123 and max_id >= 123").count() == 1 < shards.count()
+    bad = shards.limit(1).toArrow().to_pylist()[0] | {"dictionary": "other"}
     with pytest.raises(ValueError):
         list(tf._read(b"", "this")([pa.RecordBatch.from_pylist([bad])]))
+
+
+def test_given_documents(spark):
+    """Both encoders on whole documents of the test tables, against the libraries."""
+    import hashlib
+    from pathlib import Path
+
+    import sentencepiece
+
+    folder = "/root/testdata/sf0.001"
+    if not Path(folder).exists():
+        pytest.skip("test tables are not here")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    want = {r["doc_id"]: ids for r, ids in zip(docs, library_ids([r["text"] or "" for r in docs]))}
+    start = 0
+    for r in sorted(tf.op5_token_files(spark, folder).collect(), key=lambda r: r["doc_id"]):
+        ids = want[r["doc_id"]]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    model = sentencepiece.SentencePieceProcessor(model_file=sp.model_path())
+    got = {r["doc_id"]: r for r in sp.op8_sentencepiece(spark, folder).collect()}
+    for r in docs:
+        ids = model.encode(r["text"] or "")
+        row = got[r["doc_id"]]
+        assert (row["n_tokens"], row["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert row["decoded_sha256"] == hashlib.sha256(model.decode(ids).encode()).hexdigest()

@@ -66,3 +66,12 @@ def test_near_pairs(spark):
         want = {(a, b): jaccard(sets[a], sets[b]) for a in ids for b in ids if a < b and jaccard(sets[a], sets[b]) >= least}
         got = {tuple(sorted((r["a"], r["b"]))): r["likeness"] for r in ss.near_pairs(docs, least).collect()}
         assert got == pytest.approx(want)
+
+
+def test_long_words_are_counted(spark, monkeypatch):
+    """A common word of any length is an antecedent; a table that overflows gives the same counts."""
+    rows = [(i, f"incomprehensibilities w{i} {'a ' if i % 2 else ''} x{i}") for i in range(40)]
+    want = ss.antecedents(frame(spark, rows), 2)
+    assert want == ("incomprehensibilities", "a")
+    monkeypatch.setattr(ss, "TABLE_WORDS", 3)
+    assert ss.antecedents(frame(spark, rows), 2) == want

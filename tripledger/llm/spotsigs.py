@@ -1,6 +1,6 @@
 """Operator 3: document fingerprints by SpotSigs.
 
-Antecedents are the ``ANTECEDENTS`` commonest short words of the corpus, counted over all documents. Behind every occurrence of one, the
+Antecedents are the ``ANTECEDENTS`` commonest words of the corpus, counted over all documents and words of any length. Behind every occurrence of one, the
 next ``CHAIN`` content words (words that are no antecedents) form a signature with it. The
 fingerprint is the set of signatures, each as a 32-bit hash, sorted and written in hexadecimal after its size; the
 likeness of two fingerprints is the Jaccard similarity of the sets. A text without any signature has its words as signatures.
@@ -26,26 +26,35 @@ from pyspark.sql import functions as F
 
 from tripledger.llm.frames import by_batch, read_table, stored, texts
 
-ANTECEDENTS, LONGEST, CHAIN, THRESHOLD = 48, 6, 2, 0.8
+ANTECEDENTS, CHAIN, THRESHOLD = 48, 2, 0.8
 _WORDS = re.compile(r"[^\W_]+")
 #: Documents of one range, as long as that gives no more ranges than a shuffle has partitions.
 RANGE_ROWS = 4_096
 
 
+#: Different words that a task counts before it hands them on.
+TABLE_WORDS = 200_000
+
+
 def _counts(batches):
-    """Document counts of words, added up over a batch before they are shuffled."""
+    """Document counts of words, added up over a task in a table of bounded size before they are shuffled."""
+    def counted() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
+    seen: dict[str, int] = {}
     for batch in batches:
-        seen: dict[str, int] = {}
         for text in batch.column("text").to_pylist():
             for w in set(_WORDS.findall(text.lower())):
-                if len(w) <= LONGEST:
-                    seen[w] = seen.get(w, 0) + 1
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+                seen[w] = seen.get(w, 0) + 1
+            if len(seen) >= TABLE_WORDS:
+                yield counted()
+                seen.clear()
+    if seen:
+        yield counted()
 
 
 def antecedents(docs: DataFrame, size: int = ANTECEDENTS) -> tuple[str, ...]:
-    """The words of at most ``LONGEST`` characters that most documents hold; ties by the word."""
+    """The words that most documents hold, whatever their length; ties by the word."""
     words = docs.select(texts(docs).alias("text")).mapInArrow(_counts, "word string, n long")
     top = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).toArrow()
     return tuple(top["word"].to_pylist())

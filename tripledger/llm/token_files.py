@@ -42,7 +42,7 @@ _SAFE = re.compile(r"(?<=\S)(?= \S)")
 _AS_IS = "\x01"
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _ODD = f"^ | $|{_WHITE} | {_WHITE}|{_AS_IS}"
-_SHARD = ("part int, seq int, dictionary string, width int, tokens long, doc_ids array<long>, "
+_SHARD = ("part int, seq int, dictionary string, width int, tokens long, min_id long, max_id long, doc_ids array<long>, "
           "offsets array<long>, counts array<long>, frames binary")
 
 
@@ -102,14 +102,21 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
-    """Dictionary from a bounded sample; empty where the sample is too small to train on."""
+    """Dictionary from a bounded sample; empty where the sample is too small to train on.
+
+    A sampled document gives ``SAMPLE_BYTES`` of ids from a place of its text that its doc_id decides by hash, so a long document is not known by
+    its beginning alone.
+    """
     def run(batches):
         for doc_ids, arrays, _ in _serialized(path, batches):
             yield pa.RecordBatch.from_arrays([pa.array([x[:SAMPLE_BYTES] for x in arrays], pa.binary())], ["ids"])
 
     ids = _rows(docs).where("doc_id IS NOT NULL").select("doc_id").distinct()
     ids = ids.orderBy(F.xxhash64("doc_id", F.lit("dictionary")), "doc_id").limit(SAMPLE)
-    texts_ = _rows(docs).select("doc_id", F.substring("text", 1, 8 * SAMPLE_BYTES).alias("text"))
+    window = 8 * SAMPLE_BYTES
+    places = F.greatest(F.length("text") - F.lit(window), F.lit(0)) + 1
+    start = F.pmod(F.xxhash64("doc_id", F.lit("place")), places.cast("long")).cast("int") + 1
+    texts_ = _rows(docs).select("doc_id", F.substring("text", start, F.lit(window)).alias("text"))
     chosen = texts_.join(ids.hint("broadcast"), "doc_id").mapInArrow(run, "ids binary").toArrow()
     sample = sorted(chosen["ids"].to_pylist())
     try:
@@ -138,12 +145,14 @@ def _shards(digest: str, width: int):
         def shard():
             doc_ids, counts, frames = zip(*held)
             offsets = np.concatenate(([0], np.cumsum([len(f) for f in frames])))
+            known = [d for d in doc_ids if d is not None] or [None]
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([digest]),
                  pa.array([width], pa.int32()), pa.array([sum(counts)], pa.int64()),
+                 pa.array([known[0]], pa.int64()), pa.array([known[-1]], pa.int64()),
                  pa.array([doc_ids], pa.list_(pa.int64())), pa.array([offsets], pa.list_(pa.int64())),
                  pa.array([counts], pa.list_(pa.int64())), pa.array([b"".join(frames)], pa.binary())],
-                ["part", "seq", "dictionary", "width", "tokens", "doc_ids", "offsets", "counts", "frames"])
+                ["part", "seq", "dictionary", "width", "tokens", "min_id", "max_id", "doc_ids", "offsets", "counts", "frames"])
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "frame"))):
@@ -209,12 +218,17 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_document(spark: SparkSession, folder: str, doc_id: int) -> list[list[int]]:
-    """Ids of the rows of one doc_id; only their frames are decompressed."""
+    """Ids of the rows of one doc_id; only their frames are decompressed.
+
+    Shards are in the order of doc_id and state their smallest and largest, so the statistics of the files leave the
+    shards, and mostly the one file, that may hold it.
+    """
     held = spark.read.parquet(f"{folder}/dictionary").head()
     data = zstandard.ZstdCompressionDict(bytes(held["bytes"])) if held["bytes"] else None
     opener = zstandard.ZstdDecompressor(dict_data=data)
     at = F.explode(F.filter(F.sequence(F.lit(0), F.size("doc_ids") - 1), lambda i: F.col("doc_ids")[i] == doc_id))
-    rows = spark.read.parquet(f"{folder}/shards").where(F.array_contains("doc_ids", doc_id))
+    rows = spark.read.parquet(f"{folder}/shards").where((F.col("min_id") <= doc_id) & (F.col("max_id") >= doc_id))
+    rows = rows.where(F.array_contains("doc_ids", doc_id))
     rows = rows.select("width", "frames", "offsets", at.alias("i")).select(
         "width", F.expr("substring(frames, cast(offsets[i] + 1 as int), cast(offsets[i + 1] - offsets[i] as int))").alias("frame"))
     return [np.frombuffer(opener.decompress(bytes(r["frame"])), f"<u{r['width']}").tolist() for r in rows.toLocalIterator()]
