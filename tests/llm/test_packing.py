@@ -65,3 +65,26 @@ def test_equal_texts_and_one_source_are_apart(spark):
 
 def test_nothing(spark):
     assert packing.pack(frame(spark, [])).count() == 0
+
+
+def test_near_copies_are_apart(spark, tmp_path):
+    """Near copies of operator 2, in different sources, never share a bin; the rest is packed as ever, and all bytes are there."""
+    from tests.llm.test_copies import brute_print, reach
+
+    base = " ".join(f"w{k}" for k in range(120))
+    rows = [(i, f"{base} {'x' * (i % 3)}") for i in range(12)] + [(20 + i, f"other text number {i} " * (i + 1)) for i in range(25)] + [(90, None), (None, "")]
+    rows = [(i, t, f"s{k}") for k, (i, t) in enumerate(rows)]
+    prints = {k: brute_print(t) for k, (_, t, _) in enumerate(rows)}
+    root = reach(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
+    assert len({root[k] for k in range(12)}) < 12
+    folder = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{folder}/documents.parquet")
+    bins = defaultdict(list)
+    for r in packing.op4_packing(spark, folder).collect():
+        bins[r["bin_id"]].append(r)
+    place = {i: k for k, (i, _, _) in enumerate(rows)}
+    for b in bins.values():
+        clusters = [root[place[r["doc_id"]]] for r in b]
+        assert len(set(clusters)) == len(clusters)
+    assert sum(r["length"] for b in bins.values() for r in b) == sum(len((t or "").encode()) + 1 for _, t, _ in rows)
+    assert len(bins) < len(rows)

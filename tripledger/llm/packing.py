@@ -1,8 +1,8 @@
 """Operator 4: best-fit packing under conflicts.
 
 Items are documents by length (UTF-8 bytes and one end mark); a document longer than a bin is cut into full pieces and a
-rest. Two pieces may share a bin only if they differ in source and in duplicate cluster (here: the digest of the
-text). A bin carries one bitmap of its sources and one of its clusters, and bins are kept in the order of their
+rest. Two pieces may share a bin only if they differ in source and in duplicate cluster: near copies by operator 2 in the query,
+equal texts in :func:`pack`, which the pipeline calls where near copies are gone. A bin carries one bitmap of its sources and one of its clusters, and bins are kept in the order of their
 residual room. An item, longest first, looks up the first bin with enough room and goes on to the next larger one until one
 has neither bit set: the tightest compatible bin. If none is left it opens a new bin.
 
@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripledger.llm.frames import read_table, texts
+from tripledger.llm.frames import read_table, stored, texts
+from tripledger.llm.simhash import clustered_sizes
 
 CAPACITY, GROUP_BINS, GROUP_ITEMS = 8_192, 1_024, 10_000
 _OUT = "doc_id long, piece int, bin_id long, position int, start int, length int, room int"
@@ -83,26 +84,35 @@ def _pack(capacity: int):
     return run
 
 
-def pieces(docs: DataFrame, capacity: int) -> DataFrame:
-    """doc_id, piece, length, source, cluster: a row for each piece of at most ``capacity``."""
-    size = (F.octet_length(texts(docs)) + 1).alias("size")
+def sizes(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size and cluster of every row; the cluster is the digest of the text."""
     source = docs["source"].cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    items = docs.select(docs["doc_id"].cast("long").alias("doc_id"), source.alias("source"),
-                        F.xxhash64(texts(docs)).alias("cluster"), size)
-    last = F.floor((F.col("size") - 1) / capacity).cast("int")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), source.alias("source"),
+                       F.octet_length(texts(docs)).cast("long").alias("size"), F.xxhash64(texts(docs)).alias("cluster"))
+
+
+def pieces(items: DataFrame, capacity: int) -> DataFrame:
+    """doc_id, piece, length, source, cluster: a row for each piece of at most ``capacity``; one end mark a document."""
+    last = F.floor(F.col("size") / capacity).cast("int")
     items = items.select("*", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
-    length = F.least(F.lit(capacity), F.col("size") - F.col("piece") * capacity).cast("int")
+    length = F.least(F.lit(capacity), F.col("size") + 1 - F.col("piece") * capacity).cast("int")
     return items.select("doc_id", "piece", length.alias("length"), "source", "cluster")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, group_bins: int = GROUP_BINS) -> DataFrame:
-    """doc_id, piece, bin_id, position and start in the bin, length, room left in the bin; a row for each piece."""
-    items = pieces(docs, capacity)
-    total, count = items.agg(F.sum("length"), F.count("*")).head()
+def pack_items(items: DataFrame, capacity: int = CAPACITY, group_bins: int = GROUP_BINS) -> DataFrame:
+    """:func:`pack` of documents given by doc_id, source, size (bytes) and cluster (long)."""
+    cut = pieces(items, capacity)
+    total, count = cut.agg(F.sum("length"), F.count("*")).head()
     groups = max(1, -(-(total or 0) // (capacity * group_bins)), -(-count // GROUP_ITEMS))
     group = F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(groups)).alias("g")
-    return items.select("*", group).groupBy("g").applyInArrow(_pack(capacity), _OUT)
+    return cut.select("*", group).groupBy("g").applyInArrow(_pack(capacity), _OUT)
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, group_bins: int = GROUP_BINS) -> DataFrame:
+    """doc_id, piece, bin_id, position and start in the bin, length, room left in the bin; a row for each piece."""
+    return pack_items(sizes(docs), capacity, group_bins)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read_table(spark, sf_dir, "documents"))
+    """Bins in which no two pieces share a source or a near-duplicate cluster of operator 2."""
+    return pack_items(stored(clustered_sizes(read_table(spark, sf_dir, "documents")), "items"))

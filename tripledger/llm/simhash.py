@@ -64,16 +64,38 @@ def near_links(prints: DataFrame) -> DataFrame:
         F.col("low").alias("a"), F.col("fp").alias("b")).distinct()
 
 
+def rooted(rows: DataFrame) -> DataFrame:
+    """Rows with a fingerprint (fp), and with the smallest fingerprint that theirs reaches (root) and its doc_id (component_id).
+
+    The rows are written before; component_id is the smallest doc_id of the rows of all fingerprints of the root.
+    """
+    prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
+    roots = components(near_links(prints))
+    found = prints.join(roots, F.col("fp") == F.col("node"), "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = found.join(found.groupBy("root").agg(F.min("first").alias("component_id")), "root")
+    return rows.join(named.select("fp", "root", "component_id"), "fp")
+
+
 def simhash_groups(docs: DataFrame) -> DataFrame:
     """doc_id, fp (long) and component_id of every row."""
     rows = stored(docs.select(docs["doc_id"].cast("long").alias("doc_id"), texts(docs).alias("text")).mapInArrow(
         by_batch(_fingerprints), "doc_id long, fp long"), "simhash")
-    prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
-    roots = components(near_links(prints))
-    rooted = prints.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root")
-    return rows.join(named.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rooted(rows).select("doc_id", "fp", "component_id")
+
+
+def clustered_sizes(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size (UTF-8 bytes) and cluster (the root of the fingerprint) of every row, for packing."""
+    source = docs["source"].cast("string") if "source" in docs.columns else F.lit(None).cast("string")
+
+    def measured(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sizes = pa.array([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column("text")], pa.int64())
+        prints = _fingerprints(batch.select(["doc_id", "text"])).column("fp")
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), sizes, prints], ["doc_id", "source", "size", "fp"])
+
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), source.alias("source"), texts(docs).alias("text"))
+    rows = stored(rows.mapInArrow(by_batch(measured), "doc_id long, source string, size long, fp long"), "sizes")
+    return rooted(rows).select("doc_id", "source", "size", F.col("root").alias("cluster"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
