@@ -108,3 +108,37 @@ def test_query_digest(spark):
     assert rows == [(1, 3, 0, "a b c")]
     got = words_._result(frame(spark, [(1, "a  b\tc")]), words_.SHAPE, "d", lambda k: hashlib.sha256(k).hexdigest()).head()
     assert got["d"] == hashlib.sha256(b"a b c").hexdigest()
+
+
+def test_passages_by_length(spark):
+    """Passages of 50 to 120 words, each in two unrelated documents: the stage removes them, op10 only what has 400 bytes."""
+    import random
+    from pathlib import Path
+
+    import duckdb
+
+    table = "/root/testdata/sf0.001/documents.parquet"
+    if not Path(table).exists():
+        pytest.skip("test tables are not here")
+    pool = [w for (t,) in duckdb.sql(f"SELECT text FROM '{table}' WHERE len(text) > 400 ORDER BY doc_id").fetchall() for w in t.split()]
+    rng = random.Random(4)
+
+    def words(n):
+        return " ".join(rng.choice(pool) for _ in range(n))
+
+    rows, planted = [], []
+    for length in (50, 60, 80, 120):
+        for _ in range(30):
+            passage = words(length)
+            for _ in range(2):
+                planted.append((length, len(rows), passage))
+                rows.append((len(rows), f"{words(40)} {passage} {words(40)}"))
+    shares = {}
+    for name, shape in (("op10", bytes_.SHAPE), ("stage", bytes_.STAGE_SHAPE)):
+        kept = {r["doc_id"]: bytes(r["kept"]).decode("utf-8", "ignore") for r in bytes_.suffix_dedup(frame(spark, rows), shape).collect()}
+        for length in (50, 60, 80, 120):
+            mine = [passage not in kept[i] for n, i, passage in planted if n == length]
+            shares[name, length] = sum(mine) / len(mine)
+    print(shares)
+    assert all(shares["stage", n] >= 0.9 for n in (50, 60, 80, 120))
+    assert shares["op10", 120] == 1.0 and shares["op10", 50] < 0.1
