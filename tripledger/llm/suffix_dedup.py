@@ -36,7 +36,7 @@ from tripledger.llm.rolling import Shape, covered
 #: 400-byte strings, anchored by the smallest 16-byte gram among 128.
 SHAPE = Shape(length=400, gram=16, reach=128)
 #: The pipeline's stage cuts shorter strings: 50 words take 200 bytes and more, and mostly fewer than 400.
-STAGE_SHAPE = Shape(length=200, gram=16, reach=160)
+STAGE_SHAPE = Shape(length=200, gram=16, reach=80)
 
 
 def kept_bytes(data: bytes, first: np.ndarray, count: np.ndarray, length: int) -> tuple[int, int, int, bytes]:
