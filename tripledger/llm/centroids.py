@@ -96,7 +96,7 @@ def rotated(vectors: DataFrame, size: int = SIZE, leading: int = LEADING) -> tup
 def first_centroids(vectors: DataFrame, count: int = CENTROIDS, salt: str = SALT) -> np.ndarray:
     """The vectors with the smallest hashes, in the order of the hash."""
     name = F.sha2(F.concat(F.lit(salt), F.col("vec_id").cast("string")).cast("binary"), 256)
-    return np.array([r["x"] for r in vectors.orderBy(name.asc_nulls_last(), "x").limit(count).collect()], np.int64)
+    return np.array([r["x"] for r in vectors.orderBy(name.asc_nulls_last(), "x").limit(count).toArrow().to_pylist()], np.int64)
 
 
 def cluster(

@@ -156,7 +156,7 @@ def contaminated(docs: DataFrame, items: DataFrame, length: int = LENGTH, part_w
     for part in range(max(1, parts)):
         if part:
             rows = stored(rows, "scanned")
-        mine = [(r["item_id"], [w.encode() for w in r["words"]]) for r in dealt.where(F.col("part") == part).collect()]
+        mine = [(r["item_id"], [w.encode() for w in r["words"]]) for r in dealt.where(F.col("part") == part).toArrow().to_pylist()]
         rows = rows.mapInArrow(_scan(mine, length), _ROW)
     return rows
 

@@ -72,7 +72,7 @@ def added(df: DataFrame, make: Callable[[pa.RecordBatch], np.ndarray], *columns:
                 [pa.array(np.arange(len(total))), pa.array([*map(int, total)], pa.decimal128(38, 0))], ["entry", "value"])
 
     sums = df.select(*columns).mapInArrow(run, "entry long, value decimal(38,0)")
-    found = sums.groupBy("entry").agg(F.sum("value").alias("value")).collect()
+    found = sums.groupBy("entry").agg(F.sum("value").alias("value")).toArrow().to_pylist()
     out = [0] * len(found)
     for row in found:
         out[row["entry"]] = int(row["value"])
