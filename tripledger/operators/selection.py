@@ -4,7 +4,7 @@ The order of an iteration is that of a hashed integer below 2**31, ties by unit.
 digit: rows are counted by (iteration, leading digits), the digits that hold the rank are read off the running count, and
 only rows with these digits are counted by the next. Each pass reads the fanned-out rows once and keeps counts, which
 are combined on the map side; the rows themselves are neither sorted nor shuffled. A pass runs when the function is called and
-leaves one short row per iteration, which is all that the next one broadcasts.
+leaves one short row per iteration, which the next one reads as a constant.
 """
 
 from __future__ import annotations
@@ -28,45 +28,49 @@ def rank_parts(
     position. A row at the position itself is not beyond it; with an unknown position ``out`` is null. Rows that agree
     in ``key`` are few where it is a hash: those of a threshold meet in one array per iteration.
     """
-    h, spark = F.col(key), rows.sparkSession
+    h = F.col(key)
     count = len(ranks)
     sizes = F.array(*[rank(F.lit(total).cast("bigint")).cast("bigint") for rank in ranks])
 
-    def kept(df: DataFrame) -> DataFrame:
-        """The few rows of a pass, as a table of their own."""
-        return F.broadcast(spark.createDataFrame(df.toArrow(), df.schema))
+    if not total:
+        return rows.withColumn(out, F.lit(0))
+
+    def kept(df: DataFrame) -> Column:
+        """The few rows of a pass as a constant, read by iteration: a struct of the columns."""
+        packed = df.agg(F.sort_array(F.collect_list(F.struct(by, *[c for c in df.columns if c != by]))).alias("all"))
+        text = packed.select(F.to_json("all").alias("text")).toArrow()["text"][0].as_py()
+        return F.get(F.from_json(F.lit(text), packed.schema["all"].dataType), F.col(by).cast("int"))
 
     state = None
     for left, above in zip(LEFT, (31, *LEFT)):
         held = rows
         if state is not None:
-            held = rows.join(state, by).where(F.array_contains("_digits", F.shiftright(h, above)))
+            held = rows.where(F.array_contains(state["_digits"], F.shiftright(h, above)))
         # at most some two thousand digits for each rank and iteration
         counts = held.groupBy(by, F.shiftright(h, left).alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
         counts = counts.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("_d", "_n"))).alias("_counts"))
-        if state is not None:
-            counts = counts.join(state, by)
-        else:
-            none = F.array_repeat(F.lit(0).cast("bigint"), count)
-            counts = counts.withColumns({"_digits": none, "_before": none})
-        state = kept(_passed(counts.withColumn("_sizes", sizes), by, count, above - left))
-    ends = rows.join(state, by).where(F.array_contains("_digits", h)).groupBy(by).agg(
+        none = F.array_repeat(F.lit(0).cast("bigint"), count)
+        counts = counts.withColumns({
+            "_digits": none if state is None else state["_digits"],
+            "_before": none if state is None else state["_before"], "_sizes": sizes})
+        state = kept(_passed(counts, by, count, above - left))
+    ends = rows.where(F.array_contains(state["_digits"], h)).groupBy(by).agg(
         F.sort_array(F.collect_list(F.struct(h.alias("h"), F.col(unit).alias("u")))).alias("_ends"))
-    ends = ends.join(state, by).withColumn("_sizes", sizes)
+    ends = ends.withColumns({"_digits": state["_digits"], "_before": state["_before"], "_sizes": sizes})
     last = []
     for j in range(count):
         digits = F.get("_digits", F.lit(j))
         place = (F.get("_sizes", F.lit(j)) - F.get("_before", F.lit(j)) - 1).cast("int")
         last.append(F.get(F.filter("_ends", _named_like(digits)), place))
     # a rank beyond the rows has no last row
-    closing = kept(ends.select(by, F.array(*last).alias("_last")))
+    closing = kept(ends.select(by, F.array(*last).alias("_last")))["_last"]
     part = F.lit(0)
     for j in range(count):
-        end, position = F.get("_last", F.lit(j)), F.get(sizes, F.lit(j))
+        end, position = F.get(closing, F.lit(j)), F.get(sizes, F.lit(j))
         beyond = F.when(position.isNull(), None).when(position <= 0, 1).when(position >= total, 0).otherwise(
             ((h > end["h"]) | ((h == end["h"]) & (F.col(unit) > end["u"]))).cast("int"))
         part = part + beyond
-    return rows.join(closing, by, "left").withColumn(out, part).drop("_last")
+    return rows.withColumn(out, part)
 
 
 def _named_like(digits: Column) -> Callable[[Column], Column]:
