@@ -1,3 +1,5 @@
+import csv
+import io
 import json
 import pathlib
 
@@ -61,6 +63,47 @@ def test_landing_audit_of_a_file_read_in_many_splits(spark, tmp_path):
     assert (got["n_rows"], got["ok"]) == (2000, True)
 
 
+NOTES = (
+    'id,note\n' + '1,plain\n2,"one\ntwo"\n3,"say ""hi""\n\n""bye"""\n\n' + '4,"a\r\nb"\r\n5,"\n"\n' * 40 + '6,x\n',
+    'id,note\n', 'id,note\n1,"left\nopen\n', '', 'id,note\n"1\n",2\n' * 1 + '"\n\n","\n"\n' * 60,
+)
+
+
+@pytest.mark.parametrize("split", [1, 7, 64, 1 << 20])
+def test_landing_audit_counts_records_across_splits(spark, tmp_path, split):
+    """Line breaks in quotes, doubled quotes, blank lines, an open quote at the end, an empty file."""
+    for i, text in enumerate(NOTES):
+        (tmp_path / f"n {i}.csv").write_bytes(text.encode())
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        for n, v in zip(names, (max(split, 40), 0, 1)):
+            spark.conf.set(n, str(v))
+        got = {r["file"][-5]: r for r in landing.landing_audit(spark, str(tmp_path), ["id", "note"]).collect()}
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v) if v is not None else spark.conf.unset(n)
+    assert len(got) == len(NOTES)
+    for i, text in enumerate(NOTES):
+        want = list(csv.reader(io.StringIO(text, newline="")))
+        assert got[str(i)]["n_rows"] == max(len(want) - 1, 0)
+        assert got[str(i)]["ok"] == bool(want)
+    assert list(got["3"]["missing"]) == ["id", "note"]
+
+
+def test_metric_order_is_kept_in_every_format(spark, tmp_path):
+    df = spark.range(3000).selectExpr("id", "cast(id * 7919 % 3000 as int) AS k", "repeat('x', cast(id % 50 as int)) AS pad")
+    tables.write_metric(df.repartition(8), str(tmp_path), "m", order=[F.desc("k")])
+    for fmt in ("parquet", "json", "csv"):
+        got = tables.read_ordered(spark, str(tmp_path), "m", fmt)
+        assert got.where(F.col("position") != 3000 - F.col("k")).count() == 0 and got.count() == 3000
+        assert set(got.columns) == {"id", "k", "pad", "position"}
+    assert tables.read_metric(spark, str(tmp_path), "m").columns == ["id", "k", "pad"]
+    lines = [line for part in sorted((tmp_path / "m.csv").glob("part-*.csv"))
+             for line in part.read_text().splitlines()[1:]]
+    assert [int(line.split(",")[1]) for line in lines] == list(range(2999, -1, -1))
+
+
 def test_clean_stage_end_to_end(spark, tmp_path):
     land(tmp_path / "ods", 1, HEADER + "\n" + LINE.format(1, 1) + "\n" + LINE.format(1, 1) + "\n"
          + LINE.format(2, 2).replace("10:10:00", "10:00:00") + "\n")

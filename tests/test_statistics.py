@@ -150,6 +150,37 @@ def test_reversal_of_pooled_and_stratified_differences(spark):
     assert mixed["simpson_reversed"] and not mixed["all_reversed"]
 
 
+def test_any_number_of_strata(spark):
+    cells = {("e", "m"): [3] * 9, ("c", "m"): [2], ("e", "k"): [12], ("c", "k"): [11] * 9,
+             ("e", None): [5], ("c", None): [4], ("e", "alone"): [7], ("other", "m"): [900]}
+    df = spark.createDataFrame([(a, s, float(v)) for (a, s), vs in cells.items() for v in vs] + [("e", "m", None)],
+                               "arm string, s string, v double")
+    means = S.stratified_means(df, "v", "arm", "s", "e", "c")
+    got = rows(means, "pooled", "s")
+    assert set(got) == {(False, "m"), (False, "k"), (False, None), (False, "alone"), (True, None)}
+    assert got[False, "k"]["diff"] == 1 and got[False, "alone"]["diff"] is None and got[False, "alone"]["n_b"] == 0
+    assert got[True, None]["n_a"] == 12 and got[True, None]["share_a"] == 1
+    assert sum(r["share_a"] for k, r in got.items() if not k[0]) == pytest.approx(1)
+    verdict = one(S.stratified_verdict(means))
+    assert verdict["n_strata"] == 3 == verdict["n_positive"] and verdict["diff_overall"] < 0
+    assert verdict["simpson_reversed"] and verdict["all_reversed"]
+    empty = one(S.stratified_verdict(S.stratified_means(df.where("false"), "v", "arm", "s", "e", "c")))
+    assert empty["n_strata"] == 0 and not empty["simpson_reversed"] and not empty["all_reversed"]
+
+
+def test_two_strata_agree_with_the_general_form(spark):
+    rng = np.random.default_rng(5)
+    for _ in range(3):
+        data = [(str(a), str(s), float(v)) for a, s, v in
+                zip(rng.choice(["e", "c"], 60), rng.choice(["m", "k"], 60), rng.normal(0, 3, 60).round(2))]
+        df = spark.createDataFrame(data, "arm string, s string, v double")
+        old = one(S.stratified_diff(df, "v", "arm", "s", "e", "c", ("m", "k")))
+        means = S.stratified_means(df, "v", "arm", "s", "e", "c")
+        new, strata = one(S.stratified_verdict(means)), rows(means, "s")
+        assert (strata["m"]["diff"], strata["k"]["diff"]) == (old["diff_stratum_0"], old["diff_stratum_1"])
+        assert all(new[c] == old[c] for c in ("diff_overall", "simpson_reversed", "all_reversed"))
+
+
 def test_describe_and_density(spark):
     rng = np.random.default_rng(1)
     v = rng.gamma(2, 8, 400).round(2)

@@ -273,3 +273,54 @@ def stratified_diff(
         "simpson_reversed": up != (up0 | up1),
         "all_reversed": (up != up0) & (up != up1),
     })
+
+
+def stratified_means(
+    df: DataFrame, value: str, arm: str, stratum: str, a: object, b: object,
+) -> DataFrame:
+    """Mean difference ``a - b`` in each stratum and, marked ``pooled``, over all of them.
+
+    Any number of strata: rows fall to a cell per arm and stratum first, and grouping sets over the cells
+    give strata and pooled row together. ``share_a`` and ``share_b`` are the parts of an arm's rows that lie in the
+    stratum. A null stratum is one of its own; where an arm is missing the difference is null.
+    """
+    v = F.col(value)
+    cells = df.where(v.isNotNull() & F.col(arm).isin(a, b)).groupBy(arm, stratum).agg(
+        F.count("*").alias("n"),
+        F.sum(X.whole_part(v)).alias("whole"), F.sum(X.tick_part(v)).alias("ticks"))
+
+    def of(label: object, c: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col(arm) == label, F.col(c))), F.lit(0))
+
+    def mean(label: object) -> Column:
+        return F.try_divide(
+            X.join_parts(of(label, "whole"), of(label, "ticks")).cast("double"), of(label, "n").cast("double"))
+
+    def share(label: object) -> Column:
+        whole = cells.where(F.col(arm) == label).agg(F.sum("n").cast("double")).scalar()
+        return F.try_divide(of(label, "n").cast("double"), whole)
+
+    return cells.groupingSets([[F.col(stratum)], []], F.col(stratum)).agg(
+        (F.grouping(stratum) == 1).alias("pooled"), of(a, "n").alias("n_a"), of(b, "n").alias("n_b"),
+        mean(a).alias("mean_a"), mean(b).alias("mean_b"), (mean(a) - mean(b)).alias("diff"),
+        share(a).alias("share_a"), share(b).alias("share_b"))
+
+
+def stratified_verdict(means: DataFrame) -> DataFrame:
+    """One row from :func:`stratified_means`: does the pooled sign hold inside the strata?
+
+    ``simpson_reversed`` compares the pooled sign with "any stratum positive"; ``all_reversed`` asks that every
+    stratum point the other way. Strata that lack an arm say nothing; without any other both are false.
+    """
+    inner = ~F.col("pooled") & F.col("diff").isNotNull()
+    up = F.col("diff") > 0
+    counts = means.agg(
+        F.count_if(inner).alias("n_strata"), F.count_if(inner & up).alias("n_positive"),
+        F.max(F.when(F.col("pooled"), F.col("diff"))).alias("diff_overall"))
+    pooled_up, any_up = F.col("diff_overall") > 0, F.col("n_positive") > 0
+    some, against = F.col("n_strata") > 0, F.when(pooled_up, F.col("n_strata") - F.col("n_positive")) \
+        .otherwise(F.col("n_positive"))
+    return counts.withColumns({
+        "simpson_reversed": F.coalesce(some & (pooled_up != any_up), F.lit(False)),
+        "all_reversed": F.coalesce(some & (against == F.col("n_strata")), F.lit(False)),
+    })

@@ -66,7 +66,7 @@ def metric_stage(
     counts = reduced("_minute_counts", M.minute_counts(trips, spec))
 
     def store(name: str, df: DataFrame, *order) -> None:
-        tables.write_metric(df.orderBy(*order) if order else df, root, name, formats)
+        tables.write_metric(df, root, name, formats, order)
 
     store("cube", M.fact_cube(facts, spec), "month", "dow", "hour", "member", "bike")
     store("monthly", M.period_summary(trips, spec, facts=facts, counts=counts), "month")

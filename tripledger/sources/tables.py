@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tripledger.functions import hashing as H
+from tripledger.operators.ranking import row_numbers
 from tripledger.spec import TripSpec
 
+#: Rank of a row in a metric table written in an order.
+ORDER = "_order"
+
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -78,15 +82,24 @@ def write_sample(sample: DataFrame, path: str, files: int | None = None) -> None
 
 # --- metric tables and records ----------------------------------------------------------
 
-def write_metric(df: DataFrame, root: str, name: str, formats: Sequence[str] = ("json", "csv")) -> None:
-    """Compute a metric table once into Parquet, then copy it to the other formats."""
+def write_metric(
+    df: DataFrame, root: str, name: str, formats: Sequence[str] = ("json", "csv"), order: Sequence[Column | str] = (),
+) -> None:
+    """Compute a metric table once into Parquet, then copy it to the other formats.
+
+    With ``order`` the rows are range-partitioned and sorted once. A reader of Parquet does not keep the order
+    of files, so the table holds each row's rank in a column ``_order`` (rising, not dense). Copies are sorted by
+    it and written without it: part after part, line after line they are in the same order.
+    """
     base = f"{root}/{name}.parquet"
-    df.write.mode("overwrite").parquet(base)
+    ranked = df.orderBy(*order).withColumn(ORDER, F.monotonically_increasing_id()) if order else df
+    ranked.write.mode("overwrite").parquet(base)
     stored = df.sparkSession.read.parquet(base)
+    copies = stored.orderBy(ORDER).drop(ORDER) if order else stored
     if "json" in formats:
-        stored.write.mode("overwrite").option("ignoreNullFields", False).json(f"{root}/{name}.json")
+        copies.write.mode("overwrite").option("ignoreNullFields", False).json(f"{root}/{name}.json")
     if "csv" in formats:
-        stored.write.mode("overwrite").option("header", True).csv(f"{root}/{name}.csv")
+        copies.write.mode("overwrite").option("header", True).csv(f"{root}/{name}.csv")
 
 
 def read_metric(spark: SparkSession, root: str, name: str, fmt: str = "parquet") -> DataFrame:
@@ -94,13 +107,29 @@ def read_metric(spark: SparkSession, root: str, name: str, fmt: str = "parquet")
     path = f"{root}/{name}.{fmt}"
     if not path_exists(spark, path):
         raise FileNotFoundError(f"no metric table at {path}: run the metric stage first")
-    stored = spark.read.parquet(f"{root}/{name}.parquet")
+    stored = spark.read.parquet(f"{root}/{name}.parquet").drop(ORDER)
     if fmt == "parquet":
         return stored
     reader = spark.read.schema(stored.schema)
     return reader.json(path) if fmt == "json" else reader.option("header", True).csv(path)
 
 
+def read_ordered(
+    spark: SparkSession, root: str, name: str, fmt: str = "parquet", out: str = "position",
+) -> DataFrame:
+    """A metric table written with ``order``, each row with its place in it, from 1.
+
+    Parquet states the order in a column; in JSON and CSV it is where a line stands: its file, the block in it
+    and the line in that.
+    """
+    if fmt == "parquet":
+        return row_numbers(spark.read.parquet(f"{root}/{name}.parquet"), [ORDER], out=out).drop(ORDER, "total")
+    place = {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"),
+             "_line": F.monotonically_increasing_id()}
+    lines = read_metric(spark, root, name, fmt).withColumns(place)
+    return row_numbers(lines, [*place], out=out).drop(*place, "total")
+
+
 def write_record(row: DataFrame, path: str) -> None:
     """A one-row nested result as JSON."""
     row.write.mode("overwrite").option("ignoreNullFields", False).json(path)

@@ -198,6 +198,21 @@ def landing_audit(spark, sf_dir):
         F.max(F.size("missing")).alias("max_missing"))
 
 
+@query
+def landing_audit_quoted(spark, sf_dir):
+    """Records, where fields hold line breaks and quotes: physical lines are more than twice as many."""
+    root = _scratch(spark, sf_dir, "landed_notes")
+    if not tables.path_exists(spark, f"{root}/_SUCCESS"):
+        note = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('a "b"\n'), "origin", F.lit("\n\nc"))) \
+            .otherwise("plain")
+        event_trips(spark, sf_dir).select("event_id", note.alias("note"), "rider_class", "period") \
+            .write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"') \
+            .partitionBy("period").csv(root)
+    files = landing.landing_audit(spark, root, ["event_id", "note", "rider_class", "extra"])
+    return files.groupBy(F.regexp_extract("file", r"period=(\d+)", 1).cast("int").alias("period")).agg(
+        F.sum("n_rows").alias("n_rows"), F.max(F.array_join("missing", ",")).alias("missing"))
+
+
 @query
 def landing_audit_periods(spark, sf_dir):
     """Verdicts of the single files, by the period of their folder."""
@@ -264,6 +279,17 @@ def metric_round_trip_csv(spark, sf_dir):
     return tables.read_metric(spark, root, "cube", "csv")
 
 
+@query
+def metric_order(spark, sf_dir):
+    """Places of the days in the table, stored by falling number of trips, as each format keeps them."""
+    root = _fresh(spark, "metrics_ordered")
+    days = M.daily_summary(event_trips(spark, sf_dir), EVENT_SPEC)
+    tables.write_metric(days, root, "daily", order=[F.desc("n"), "date"])
+    placed = [tables.read_ordered(spark, root, "daily", fmt).select(F.lit(fmt).alias("format"), "date", "n", "position")
+              for fmt in ("parquet", "json", "csv")]
+    return reduce(DataFrame.unionByName, placed)
+
+
 @query
 def sample_trips(spark, sf_dir):
     picked = tables.sample_trips(
@@ -587,6 +613,22 @@ def stratified_diff(spark, sf_dir):
         "electric_bike", "classic_bike", ("member", "casual"))
 
 
+def _by_day_part(spark, sf_dir):
+    """Electric against classic in five parts of the day."""
+    ev = event_trips(spark, sf_dir).withColumn("day_part", F.floor(F.col("hour") / 5).cast("int"))
+    return T.stratified_means(ev, "value", "vehicle_class", "day_part", "electric_bike", "classic_bike")
+
+
+@query
+def stratified_diff_k(spark, sf_dir):
+    return _by_day_part(spark, sf_dir)
+
+
+@query
+def stratified_verdict_k(spark, sf_dir):
+    return T.stratified_verdict(_by_day_part(spark, sf_dir))
+
+
 # --- experiment ------------------------------------------------------------------------------------------
 
 @query

@@ -751,11 +751,28 @@ ORACLE: dict[str, str] = {
 # all twelve periods occur, so a shorter axis changes nothing
 ORACLE["monthly_stack_short_axis"] = ORACLE["monthly_stack"]
 
+DAY_PARTS = """SELECT unnest([hour // 5, NULL]) AS day_part, unnest([false, true]) AS pooled, value,
+    vehicle_class = 'electric_bike' AS e FROM ev"""
 STAGED = "event_id % 97 <> 0 AND floor(value) > 0 AND floor(value) <= 1440"
 ORACLE |= {
     "landing_audit_periods": sql("""SELECT period AS month, count(*) AS n_rows, 0::BIGINT AS n_missing,
         true AS all_ok FROM ev GROUP BY period""", "ev"),
+    "landing_audit_quoted": sql("""SELECT period, count(*) AS n_rows, 'extra' AS missing FROM ev GROUP BY period""", "ev"),
     "metric_round_trip_csv": sql("SELECT * FROM cube", "cube"),
+    "metric_order": sql("""SELECT unnest(['parquet', 'json', 'csv']) AS format, date, n,
+        row_number() OVER (ORDER BY n DESC, date) AS position FROM daily""", "daily"),
+    "stratified_diff_k": sql(f"""SELECT day_part, pooled, {cnt('e')} AS n_a, {cnt('NOT e')} AS n_b,
+        {r(mean('value', 'e'))} AS mean_a, {r(mean('value', 'NOT e'))} AS mean_b,
+        {r(mean('value', 'e') + ' - ' + mean('value', 'NOT e'))} AS diff,
+        {r(f"{cnt('e')} / (SELECT {cnt('e')} FROM parts WHERE pooled)")} AS share_a,
+        {r(f"{cnt('NOT e')} / (SELECT {cnt('NOT e')} FROM parts WHERE pooled)")} AS share_b
+        FROM parts GROUP BY ALL""", "ev", parts=DAY_PARTS),
+    "stratified_verdict_k": sql(f"""SELECT (SELECT count(*) FROM d WHERE NOT pooled) AS n_strata,
+        (SELECT count(*) FROM d WHERE NOT pooled AND diff > 0) AS n_positive, {r('p.diff')} AS diff_overall,
+        (p.diff > 0) <> EXISTS (SELECT 1 FROM d WHERE NOT pooled AND diff > 0) AS simpson_reversed,
+        NOT EXISTS (SELECT 1 FROM d WHERE NOT pooled AND (diff > 0) = (p.diff > 0)) AS all_reversed
+        FROM d AS p WHERE p.pooled""", "ev", parts=DAY_PARTS,
+        d=f"SELECT day_part, pooled, {mean('value', 'e')} - {mean('value', 'NOT e')} AS diff FROM parts GROUP BY ALL"),
     "read_fallback": sql("SELECT trip_key, month, days_open FROM oc", "oc"),
     "clean_stage_report": f"""SELECT 2024::BIGINT AS year, n_raw, n_distinct_ride_id, dropped_bad_time,
         dropped_bad_duration, 0::BIGINT AS dropped_bad_enum, n_raw - n_distinct_ride_id AS n_duplicate_rides,
