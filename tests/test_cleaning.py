@@ -87,6 +87,15 @@ def test_dedup_keeps_the_same_row_whatever_the_order(spark):
     assert first["start_station_id"] == "0"
 
 
+def test_dedup_within_a_column_that_the_key_determines(spark):
+    df = spark.createDataFrame(
+        [("1-1", 1, 5, "b"), ("1-1", 1, 5, "a"), ("1-2", 1, None, "c"), ("1-2", 1, 2, "d"), ("2", 2, 1, None)],
+        "id string, place int, n int, name string")
+    got = cleaning.dedup(df, "id", within="place")
+    assert got.columns == ["id", "n", "name"]
+    assert sorted(map(tuple, got.collect())) == [("1-1", 5, "a"), ("1-2", None, "c"), ("2", 1, None)]
+
+
 def test_hot_trip_id_is_reduced_before_the_shuffle(spark):
     raw = raw_trips(spark, [raw_row("hot", origin=str(i % 7)) for i in range(3000)] + [raw_row("a")])
     assert cleaning.clean(raw.repartition(4), SPEC).count() == 2

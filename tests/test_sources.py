@@ -1,7 +1,9 @@
 import csv
+import datetime as dt
 import io
 import json
 import pathlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from tests.helpers import SPEC, one, raw_row, raw_trips, rows, trips
 from tripledger.operators import cleaning, metrics as M
 from tripledger.plans import stages, views
 from tripledger.session import shared_folder
-from tripledger.sources import landing, tables
+from tripledger.sources import adapters, landing, tables
 from tripledger.spec import RAW_TRIP_SCHEMA, DateWindow
 
 HEADER = ",".join(f'"{c}"' for c in RAW_TRIP_SCHEMA.fieldNames())
@@ -237,3 +239,42 @@ def test_experiment_stage_writes_the_record_and_the_decision(spark, tmp_path):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def order_tables(spark):
+    """Keys repeat and are null in every table; order 1 is there twice, nation 7 under two names."""
+    day = dt.datetime
+    lineitem = spark.createDataFrame(
+        [(1, 1, 10, "O", day(2024, 1, 5)), (1, 1, 10, "F", day(2024, 1, 9)), (1, None, 10, "F", day(2024, 1, 9)),
+         (2, 1, None, "F", day(2024, 2, 9)), (None, 1, 10, "O", day(2024, 1, 5)), (9, 1, 10, "O", day(2024, 1, 5)),
+         (2, 2, 11, "O", day(2024, 2, 20))],
+        "l_orderkey long, l_linenumber int, l_suppkey long, l_linestatus string, l_shipdate timestamp_ntz")
+    orders = spark.createDataFrame(
+        [(1, 100, day(2024, 1, 2), "1-URGENT"), (1, 101, day(2024, 1, 1), "5-LOW"), (2, None, day(2024, 2, 1), "2-HIGH"),
+         (None, 100, day(2024, 1, 1), "1-URGENT")],
+        "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderpriority string")
+    supplier = spark.createDataFrame(
+        [(10, 7, 1.5), (10, None, 2.5), (None, 7, 3.5)], "s_suppkey long, s_nationkey int, s_acctbal double")
+    customer = spark.createDataFrame(
+        [(100, 8, 10.0, "BUILDING"), (101, 7, 11.0, "MACHINERY"), (101, 8, 12.0, "BUILDING"), (None, 8, 13.0, "BUILDING")],
+        "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string")
+    nation = spark.createDataFrame([(7, "B"), (7, "A"), (8, "C"), (None, "N")], "n_nationkey int, n_name string")
+    return lineitem, orders, supplier, customer, nation
+
+
+def test_clean_orders_are_dealt_once_by_order(spark, tmp_path):
+    """Grouping by trip id alone gives the same rows; with the order they stay where the join put them."""
+    raw = adapters.trips_from_orders(*order_tables(spark))
+    # line 1 of order 1 twice, each with 2 orders: urgent with 1 customer, low with 2; suppliers 10 with nation 7 (2 names) and none
+    assert raw.where("order_key = 1 AND trip_key = '1-1' AND supply_name IS NULL").count() == 2 * (1 + 3)
+    assert raw.where("order_key IS NULL OR order_key = 9").count() == 2 * 3
+    plain = cleaning.clean(raw, adapters.ORDER_SPEC)
+    dealt = cleaning.clean(raw, adapters.ORDER_SPEC, within="order_key")
+    assert {r["trip_key"] for r in dealt.collect()} == {"1", "1-1", "2-1", "2-2"}
+    assert by_columns(dealt) == by_columns(plain)
+    for name, df in zip(("lineitem", "orders", "supplier", "customer", "nation"), order_tables(spark)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    stored = cleaning.clean(adapters.raw_order_trips(spark, str(tmp_path)), adapters.ORDER_SPEC, within="order_key")
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert by_columns(stored) == by_columns(plain)
+    assert re.findall(r"hashpartitioning\((\w+)", plan) == ["l_orderkey", "o_orderkey"]

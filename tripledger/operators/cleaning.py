@@ -42,31 +42,33 @@ def keep_good(df: DataFrame, spec: TripSpec, rules: CleanRules = CleanRules()) -
     return df.where(~bad_time & ~bad_duration & ~bad_enum)
 
 
-def dedup(df: DataFrame, key: str, order: Sequence[str] | None = None) -> DataFrame:
+def dedup(df: DataFrame, key: str, order: Sequence[str] | None = None, within: str | None = None) -> DataFrame:
     """One row per key: the smallest by ``order`` (default: all other columns), nulls first.
 
     An aggregate rather than a window: copies of a hot key are reduced to one on
-    the map side, so they never meet in one task. Null keys count as one key.
+    the map side, so they never meet in one task. Null keys count as one key. ``within`` names a column that the key
+    determines; where a join has dealt the rows by it, none moves, and copies meet where that join put them. It is not part of the result.
     """
-    rest = [c for c in df.columns if c != key]
+    rest = [c for c in df.columns if c not in (key, within)]
     first = list(order or rest)
     packed = F.min(F.struct(*first, *[c for c in rest if c not in first])).alias("_row")
-    return df.groupBy(key).agg(packed).select(
-        *[F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in df.columns])
+    keys = [within, key] if within else [key]
+    return df.groupBy(*keys).agg(packed).select(
+        *[F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in df.columns if c != within])
 
 
 def clean(
     raw: DataFrame, spec: TripSpec, rules: CleanRules = CleanRules(),
-    order: Sequence[str] | None = None,
+    order: Sequence[str] | None = None, within: str | None = None,
 ) -> DataFrame:
     """Clean trips: filtered, one row per trip id, with calendar fields.
 
     Calendar fields are derived after the shuffle of the de-duplication, which then
-    moves only source columns.
+    moves only source columns. ``within``: a column that the id of a good row determines (see :func:`dedup`).
     """
     source = _source_columns(spec)
-    good = keep_good(prepare(raw, spec), spec, rules).select(*source)
-    one_each = dedup(good, spec.trip_id, order or [spec.start_ts, spec.end_ts])
+    good = keep_good(prepare(raw, spec), spec, rules).select(*source, *([within] if within else []))
+    one_each = dedup(good, spec.trip_id, order or [spec.start_ts, spec.end_ts], within)
     return C.with_calendar(one_each, spec).select(*spec.clean_columns())
 
 

@@ -62,30 +62,30 @@ def trips_from_orders(
     result needs cleaning. A line without a partner stays and is counted by the audit. Stations are nations; machinery orders have no
     destination. Joins carry no hints: adaptive execution broadcasts the lookup
     tables while they are small and splits skewed shuffle partitions otherwise.
+
+    Lines meet suppliers while they are narrow, and orders meet customers before they meet the lines. So the join by
+    order is the last one that deals rows anew, whatever is broadcast, and ``order_key`` states how they are dealt. Names of nations
+    come after it and are not shuffled; a join estimated in front of it would also keep suppliers from being broadcast.
     """
     def nation_as(prefix: str) -> DataFrame:
         return nation.select(
             F.col("n_nationkey").alias(f"{prefix}_nation"), F.col("n_name").alias(f"{prefix}_name"))
 
-    supply = supplier.select(
-        "s_suppkey", F.col("s_nationkey").alias("supply_nation"), "s_acctbal",
-    ).join(nation_as("supply"), "supply_nation", "left")
-    demand = customer.select(
-        "c_custkey", F.col("c_nationkey").alias("demand_nation"), "c_acctbal", "c_mktsegment",
-    ).join(nation_as("demand"), "demand_nation", "left")
+    supply = supplier.select("s_suppkey", F.col("s_nationkey").alias("supply_nation"), "s_acctbal")
+    demand = customer.select("c_custkey", F.col("c_nationkey").alias("demand_nation"), "c_acctbal", "c_mktsegment")
 
     days = F.datediff("l_shipdate", "o_orderdate").cast("double")
     has_end = F.col("c_mktsegment") != "MACHINERY"
     priority = F.substring("o_orderpriority", 1, 1)
+    lines = lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_linestatus", "l_shipdate").join(
+        supply, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    placed = orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority").join(
+        demand, F.col("o_custkey") == F.col("c_custkey"), "left")
     return (
-        lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_linestatus", "l_shipdate")
-        .join(
-            orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"),
-            F.col("l_orderkey") == F.col("o_orderkey"), "left")
-        .join(supply, F.col("l_suppkey") == F.col("s_suppkey"), "left")
-        .join(demand, F.col("o_custkey") == F.col("c_custkey"), "left")
+        lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+        .join(nation_as("supply"), "supply_nation", "left").join(nation_as("demand"), "demand_nation", "left")
         .select(
-            F.concat_ws("-", "l_orderkey", "l_linenumber").alias("trip_key"),
+            F.concat_ws("-", "l_orderkey", "l_linenumber").alias("trip_key"), F.col("l_orderkey").alias("order_key"),
             F.when(F.col("l_linestatus") == "O", "electric_bike")
             .when(F.col("l_linestatus") == "F", "classic_bike").alias("status_class"),
             F.when(priority.isin("1", "2", "3"), "member")

@@ -51,7 +51,8 @@ def query(fn: Query) -> Query:
 # --- layers ------------------------------------------------------------------------------
 
 def clean_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.clean(raw_order_trips(spark, sf_dir), ORDER_SPEC)
+    """Good trips have an order, so their id names it, and the join by order has dealt them already."""
+    return cleaning.clean(raw_order_trips(spark, sf_dir), ORDER_SPEC, within="order_key")
 
 
 def _scratch(spark: SparkSession, sf_dir: str, name: str) -> str:
@@ -62,11 +63,12 @@ def _scratch(spark: SparkSession, sf_dir: str, name: str) -> str:
 def stored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean order trips as a stored table, written by the first query that needs it.
 
-    Metrics are defined over the stored clean layer, not over the cleaning itself.
+    Metrics are defined over the stored clean layer, not over the cleaning itself. Tasks write their own months: gathering
+    those would move every wide row once more.
     """
     path = _scratch(spark, sf_dir, "clean_orders")
     if not tables.path_exists(spark, f"{path}/_SUCCESS"):
-        tables.write_trips(clean_orders(spark, sf_dir), path, ["month"])
+        tables.write_trips(clean_orders(spark, sf_dir), path, ["month"], rebalance=False)
     return tables.read_trips(spark, path)
 
 
