@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 from tests.llm.helpers import WORD, by_row, corpus, frame
-from tripledger.llm import substring_dedup as words_, suffix_dedup as bytes_
+from tripledger.llm import repeats, substring_dedup as words_, suffix_dedup as bytes_
 from tripledger.llm.frames import LAST_ID
 from tripledger.llm.rolling import Shape
 
@@ -103,6 +103,21 @@ def test_stage_keeps_columns_and_whole_characters(spark):
     assert got == {1: ("ab", 2), 2: ("üc", 2), 3: (None, None), 4: ("plain", 5)}
 
 
+def test_single_wholes_need_no_join_and_texts_are_packed(spark, monkeypatch):
+    """One passage in 60 unlike texts and twice in another: every whole at its ends occurs once, and its count states its row."""
+    written, own = {}, repeats.stored
+    monkeypatch.setattr(repeats, "stored", lambda df, name: written.setdefault(name, own(df, name)))
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, f"left {i * 7919} {passage} right {i * 104729}") for i in range(60)] + [(60, f"{passage} é {passage} é")]
+    docs = frame(spark, rows)
+    got = {r["doc_id"]: r["text"] for r in bytes_.suffix_stage(docs, Shape(40, 8, 16)).collect()}
+    assert got == {r[0]: r[4].decode("utf-8", "ignore") for r in brute_bytes(rows, 40)}
+    assert dict(written["once"].dtypes)["kept"] == "binary"
+    single = written["wholes"].where("k = 1").select("key", "tie", "first", "count", "core").collect()
+    assert len(single) > 60
+    assert set(map(tuple, single)) <= set(map(tuple, written["shared"].select("key", "tie", "first", "count", "core").collect()))
+
+
 def test_query_digest(spark):
     rows = brute_words([(1, "a  b\tc")], 50)
     assert rows == [(1, 3, 0, "a b c")]
