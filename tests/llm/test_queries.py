@@ -48,7 +48,8 @@ def test_op2(spark, rows):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    for table in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     assert by_row(REGISTRY[name](spark, SMALL).collect()) == by_row(con.execute(ORACLE[name]).fetchall())
 
 
