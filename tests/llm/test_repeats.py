@@ -118,6 +118,43 @@ def test_single_wholes_need_no_join_and_texts_are_packed(spark, monkeypatch):
     assert set(map(tuple, single)) <= set(map(tuple, written["shared"].select("key", "tie", "first", "count", "core").collect()))
 
 
+@pytest.mark.parametrize("copies", [12, 48])
+def test_join_of_copies_puts_out_one_row_for_a_whole(spark, monkeypatch, copies):
+    """A passage in many texts with two endings: its stretches branch there, and each whole has as many copies as texts."""
+    written, joined, own, join = {}, [], repeats.stored, type(frame(spark, [])).join
+    monkeypatch.setattr(repeats, "stored", lambda df, name: written.setdefault(name, own(df, name)))
+
+    def watched(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if on and list(on)[:2] == ["core", "whole"]:
+            joined.append(out)
+        return out
+
+    monkeypatch.setattr(type(frame(spark, [])), "join", watched)
+    passage, ends = " ".join(f"p{i}" for i in range(40)), [" ".join(f"{x}{i}" for i in range(40)) for x in "ab"]
+    rows = [(i, f"left{i * 7919} {passage} {ends[i % 2]} right{i * 104729}") for i in range(copies)]
+
+    def check(got, expected):
+        assert by_row(got) == by_row(expected)
+        copied = written["wholes"].where("k > 1").selectExpr("count(*) AS n", "sum(k) AS k").head()
+        assert copied["n"] > 0 and copied["k"] >= copied["n"] * copies / 4
+        assert joined.pop().count() == copied["n"] and not joined
+        written.clear()
+
+    got = bytes_.suffix_dedup(frame(spark, rows), Shape(40, 8, 16)).collect()
+    check([(r["doc_id"], *r[:3], bytes(r["kept"])) for r in got], brute_bytes(rows, 40))
+    check(words_.substring_dedup(frame(spark, rows), Shape(12, 3, 5)).collect(), brute_words(rows, 12))
+
+
+def test_copies_in_rows_of_one_id(spark):
+    """The first owner of a whole may have it in many rows: one doc_id or none, and twice in one text."""
+    passage, ends = " ".join(f"p{i}" for i in range(30)), [" ".join(f"{x}{i}" for i in range(30)) for x in "abc"]
+    rows = [(i % 3 or None, f"l{i} {passage} {ends[i % 2]} m{i} {passage} {ends[i % 3]} r{i}") for i in range(18)] + [(1, passage)] * 2
+    got = bytes_.suffix_dedup(frame(spark, rows), Shape(40, 8, 16)).collect()
+    assert by_row((r["doc_id"], *r[:3], bytes(r["kept"])) for r in got) == by_row(brute_bytes(rows, 40))
+    assert by_row(words_.substring_dedup(frame(spark, rows), Shape(12, 3, 5)).collect()) == by_row(brute_words(rows, 12))
+
+
 def test_query_digest(spark):
     rows = brute_words([(1, "a  b\tc")], 50)
     assert rows == [(1, 3, 0, "a b c")]
